@@ -46,6 +46,9 @@ U = np.uint64
 LOW_MASK, TOP, BOTTOM = U((1 << 48) - 1), U(1 << 32), U(1 << 28)
 
 
+SEGMENT_SCHEMA = "part int, segment int, n_docs int, n_ids long, docs binary, blocks array<binary>"
+
+
 class Corrupt(ValueError):
     """A block's checksum or form is wrong."""
 
@@ -296,7 +299,7 @@ SEGMENT_SCHEMA = "part int, segment int, n_docs int, n_ids long, docs binary, bl
 def _segments(vocabulary: str, spaced: bool, end_id: int | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of whole documents, in the order in which the task reads them."""
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, size, ready, blocks = TaskContext.get().partitionId(), 0, [], 0, [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
@@ -305,26 +308,38 @@ def _segments(vocabulary: str, spaced: bool, end_id: int | None):
                     held.append((doc, ids[a:b]))
                     size += int(b - a) + 1
                     if size >= SEGMENT:
-                        yield _segment(part, number, held, end_id)
+                        ready.append(_closed(part, number, held, end_id))
+                        blocks += len(ready[-1]["blocks"])
                         number, held, size = number + 1, [], 0
+                        if blocks >= LANES:
+                            yield _coded(ready)
+                            ready, blocks = [], 0
         if held:
-            yield _segment(part, number, held, end_id)
+            ready.append(_closed(part, number, held, end_id))
+        if ready:
+            yield _coded(ready)
 
     return cut
 
 
-def _segment(part: int, number: int, held: list, end_id: int | None) -> pa.RecordBatch:
+def _closed(part: int, number: int, held: list, end_id: int | None) -> dict:
+    """A segment whose blocks are still plain ids."""
     end = np.array([] if end_id is None else [end_id], np.uint32)
     ids = np.concatenate([x for _, got in held for x in (got, end)])
     # a null doc_id is 0, others are 1 + zigzag
     keys = np.array([0 if d is None else 1 + ((d << 1) ^ (d >> 63)) for d, _ in held], dtype=np.uint64)
     counts = np.array([len(got) + len(end) for _, got in held], np.uint64)
-    blocks = encode_blocks([ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)])
     docs = varints(np.concatenate([keys, counts]))
     docs = MAGIC + np.array([zlib.crc32(docs)], "<u4").tobytes() + docs
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
-    row = [part, number, len(held), len(ids), docs, blocks]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "segment", "n_docs", "n_ids", "docs", "blocks"])
+    return {"part": part, "segment": number, "n_docs": len(held), "n_ids": len(ids), "docs": docs, "blocks": [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]}
+
+
+def _coded(ready: list[dict]) -> pa.RecordBatch:
+    """The segments with their blocks coded, all side by side."""
+    coded = iter(encode_blocks([b for s in ready for b in s["blocks"]]))
+    rows = [s | {"blocks": [next(coded) for _ in s["blocks"]]} for s in ready]
+    types = {"part": pa.int32(), "segment": pa.int32(), "n_docs": pa.int32(), "n_ids": pa.int64(), "docs": pa.binary(), "blocks": pa.list_(pa.binary())}
+    return pa.RecordBatch.from_pylist(rows, pa.schema(types))
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, spaced: bool = True, end_id: int | None = 0, partitions: int | None = None) -> None:

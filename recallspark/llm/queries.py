@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfile
+from . import chat, decontamination, idfile, packing
 from .common import table
 from .encoding import vocabulary
 
@@ -13,9 +13,55 @@ def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p + 1:p + 5], ' '))) AS s FROM d WHERE len(w) > 0),
+its AS (SELECT DISTINCT item_id, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p + 1:p + 5], ' '))) AS s FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n FROM its GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS found FROM ds JOIN its USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS item_shingles, found AS found_shingles, found / n AS containment
+FROM f JOIN n USING (item_id) WHERE found >= ceil(round(n * 0.8, 6))
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("""
+        SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
+        UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'""")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(turns)
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS al,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '[', '\b')) + length(role) - length(replace(role, '>', ''))
+      + length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '[', '\b')) + 13) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(al) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_id_output,)}
+    return {f.__name__: f for f in (op1_token_id_output, op3_decontamination, op4_packing, op5_chat_formatting)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL}
