@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, idfile, packing
+from . import chat, decontamination, idfile, packing, quality, toxicity
 from .common import table
 from .encoding import vocabulary
 
@@ -13,6 +13,10 @@ def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
 
@@ -59,8 +63,12 @@ FROM g
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_id_output, op3_decontamination, op4_packing, op5_chat_formatting)}
+    return {f.__name__: f for f in (op1_token_id_output, op2_quality_classifier, op3_decontamination, op4_packing, op5_chat_formatting, op8_toxicity)}
 
 
 def oracle_sql() -> dict:
