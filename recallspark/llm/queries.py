@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, idfile, packing, quality, toxicity
+from . import chat, decontamination, idfile, minhash, packing, quality, toxicity
 from .common import table
 from .encoding import vocabulary
 
@@ -67,8 +67,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_id_output, op2_quality_classifier, op3_decontamination, op4_packing, op5_chat_formatting, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_id_output, op2_quality_classifier, op3_decontamination, op4_packing, op5_chat_formatting, op8_toxicity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
