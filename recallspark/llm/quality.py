@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, texts_of, written
 from .textstats import sums, text_bytes
-from .toxicity import held_out
+from .toxicity import held_out, without
 
 SHRINK = 0.4  #: weight of the pooled covariance in a class's
 DIAGONAL = 0.1  #: weight of the diagonal in the pooled covariance
@@ -137,18 +137,24 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
     score; a null text is empty, and an empty one is scored by its statistics like others. Without
     two labelled rows of each class every score is 0.5. Other columns are ignored.
     """
+    return scored(docs, labels, modulus, remainder).drop("text_hash")
+
+
+def scored(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
+    """`score` with text_hash, which with the doc_id finds a row again."""
     spark = docs.sparkSession
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out("doc_id", modulus, remainder).alias("held_out"))
+    own = own.withColumn("text_hash", F.xxhash64("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
                 x = statistics(texts_of(some.column("text")))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["doc_id", "held_out", *FEATURES])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), some.column("text_hash"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["doc_id", "held_out", "text_hash", *FEATURES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = written(own.mapInArrow(features, f"doc_id {kind}, held_out boolean, " + ", ".join(f"`{f}` double" for f in FEATURES)), "quality")
+    known = written(own.mapInArrow(features, f"doc_id {kind}, held_out boolean, text_hash long, " + ", ".join(f"`{f}` double" for f in FEATURES)), "quality")
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marks = written(marks, "quality-labels")
     training = known.where("not held_out").join(maybe_broadcast(marks, marks.count()), "doc_id").select("quality", *FEATURES)
@@ -162,12 +168,11 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
         for batch in batches:
             x = np.stack([batch.column(f).to_numpy() for f in FEATURES], axis=1)
             d = np.zeros(len(x)) if model.value is None else log_density_difference(model.value, x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(d, -500, 500))))], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text_hash"), pa.array(1 / (1 + np.exp(-np.clip(d, -500, 500))))], names=["doc_id", "held_out", "text_hash", "score"])
 
-    return known.mapInArrow(judge, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return known.mapInArrow(judge, f"doc_id {kind}, held_out boolean, text_hash long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_poor(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """docs, all columns and repeated rows, without those predicted to be of class 0."""
-    bad = written(score(docs, labels, **kw).where("predicted = 0").select("doc_id").distinct(), "poor")
-    return docs.join(maybe_broadcast(bad, bad.count()), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    return without(docs, scored(docs, labels, **kw).where("predicted = 0"))

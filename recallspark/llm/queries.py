@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, idfile, minhash, packing, quality, toxicity
+from . import chat, decontamination, idfile, minhash, packing, quality, sharding, token_counts, toxicity, vectors
 from .common import table
 from .encoding import vocabulary
 
@@ -63,17 +64,45 @@ FROM g
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)[0]
+
+
+#: Prefixes of up to 24 bits: enough while no bucket of that depth is over the limit.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+    lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT)), 48, '0') AS bits FROM documents),
+l AS (SELECT doc_id, n_bytes, depth, substr(bits, 1, depth) AS shard,
+    sum(n_bytes) OVER (PARTITION BY depth, substr(bits, 1, depth)) AS total,
+    count(*) OVER (PARTITION BY depth, substr(bits, 1, depth)) AS rows_in
+  FROM d, (SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS depth))
+SELECT doc_id, n_bytes, shard, depth FROM l WHERE total <= {SHARD_BYTES} OR rows_in = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_id_output, op2_quality_classifier, op3_decontamination, op4_packing, op5_chat_formatting, op8_toxicity, op10_minhash_near_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_id_output, op2_quality_classifier, op3_decontamination, op4_packing, op5_chat_formatting, op6_token_counts, op7_sharding, op8_toxicity, op9_embedding_near_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": OP7_SQL}
