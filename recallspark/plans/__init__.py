@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import memory, relations, search
+
+MODULES = (search, memory, relations)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
