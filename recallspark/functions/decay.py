@@ -17,7 +17,7 @@ def salience(accesses: Column) -> Column:
 
 def freshness(horizon: Column, anchor: Column, now: Column, accesses: Column) -> Column:
     """'fresh', 'stale' or 'unknown': no horizon is fresh, no anchor or one in the future unknown."""
-    age = (F.unix_micros(now) - F.unix_micros(anchor)) / 3.6e9
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(anchor.cast("timestamp"))) / 3.6e9
     hours = F.lit(None).cast("double")
     for name, limit in HORIZON_HOURS.items():
         hours = F.when(horizon == name, F.lit(float(limit))).otherwise(hours)

@@ -31,6 +31,10 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def _is(term: str):
+    return lambda token: token == F.lit(term)
+
+
 def bm25_scores(docs: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
     """key, doc_len, score, matched (terms found) of documents with a query term.
 
@@ -38,7 +42,7 @@ def bm25_scores(docs: DataFrame, terms: list[str], key: str = "doc_id") -> DataF
     from each text, so the only exchange is that of one row of corpus statistics.
     """
     own = documents_index(docs, key)
-    tf = F.array(*(F.size(F.filter("tokens", lambda t, w=w: t == F.lit(w))) for w in terms))
+    tf = F.array(*(F.size(F.filter("tokens", _is(w))) for w in terms))
     counted = own.select(key, "doc_len", tf.alias("tf"))
     found = [F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"), *found)
