@@ -58,7 +58,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def bags_of(docs: DataFrame) -> DataFrame:
-    """doc_id, elements (sorted 64-bit shingle hashes), counts of docs(doc_id, text)."""
+    """doc_id, elements (sorted 64-bit shingle hashes), counts and sketch (bag.sketch) of docs(doc_id, text)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +70,10 @@ def bags_of(docs: DataFrame) -> DataFrame:
                     "doc_id": some.column("doc_id"),
                     "elements": pa.array([e for e, _ in got], pa.list_(pa.int64())),
                     "counts": pa.array([c for _, c in got], pa.list_(pa.int64())),
+                    "sketch": pa.array([bag.sketch(*g).tobytes() for g in got], pa.binary()),
                 })
 
-    return docs.mapInArrow(gather, "doc_id long, elements array<long>, counts array<long>")
+    return docs.mapInArrow(gather, "doc_id long, elements array<long>, counts array<long>, sketch binary")
 
 
 def _verifier(threshold: float):
@@ -100,6 +101,7 @@ def _verifier(threshold: float):
 
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs(a, b) whose bags overlap enough. A node with many pairs is dealt to several groups."""
+    bags = bags.drop("sketch")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(bags.withColumnRenamed("doc_id", "a"), "a")
     right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(bags.withColumnRenamed("doc_id", "b"), "b")
@@ -114,37 +116,56 @@ def _across(threshold: float):
     # 4 standard deviations of the agreement of SIZE registers at the threshold
     least = threshold - 4 * (threshold * (1 - threshold) / bag.SIZE) ** 0.5
 
-    def compare(key: list) -> Iterator[tuple[int, int]]:
+    def compare(bucket: int, key: list) -> Iterator[tuple[int, int]]:
         docs, labels, probe = (np.array([r[k] for r in key]) for k in (0, 1, 2))
+        bands = np.array([r[5] for r in key])
         sig = np.frombuffer(b"".join(r[3] for r in key), np.uint8).reshape(len(key), -1)
+        sketches = [np.frombuffer(r[4], np.uint32) for r in key]
+        whole = np.array([len(x) < bag.SKETCH for x in sketches])
         members = np.flatnonzero(~probe)
         for i in np.flatnonzero(probe):
             agree = (sig[members] == sig[i]).mean(axis=1)
-            for j in members[(agree >= least) & (labels[members] != labels[i])]:
+            near = members[(agree >= least) & (labels[members] != labels[i])]
+            # of the buckets in which two nodes meet, the first band's compares them
+            met = bands[near] == bands[i]
+            near = near[bands[i][met.argmax(axis=1)] == bucket]
+            if not len(near):
+                continue
+            common, total = bag.overlaps(sketches[i], [sketches[j] for j in near])
+            estimate, exact = common / np.maximum(total, 1), whole[near] & whole[i]
+            sure = exact & (estimate >= threshold)
+            room = np.where(exact, 1 / np.maximum(total, 1), 4 * (threshold * (1 - threshold) / np.maximum(total, 1)) ** 0.5)
+            for j in near[~sure & (estimate >= threshold - room)]:
                 yield min(docs[i], docs[j]), max(docs[i], docs[j])
+            # one link joins two labels for good: others between them add nothing
+            for k in np.flatnonzero(sure)[np.argsort(-estimate[sure], kind="stable")]:
+                j = near[k]
+                if labels[j] != labels[i]:
+                    yield min(docs[i], docs[j]), max(docs[i], docs[j])
+                    labels[labels == labels[j]] = labels[i]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
-        def out(rows):
-            found = list(dict.fromkeys(compare(rows)))
+        def out():
+            found = list(dict.fromkeys(compare(key[0], held)))
             return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for k, block, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "doc_id", "label", "probe", "sig")), strict=True):
+            for k, block, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "doc_id", "label", "probe", "sig", "sketch", "bands")), strict=True):
                 if (k, block) != key:
                     if held:
-                        yield out(held)
+                        yield out()
                     key, held = (k, block), []
                 held.append(row)
         if held:
-            yield out(held)
+            yield out()
 
     return pairs
 
 
 def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) between nodes(doc_id, bands, sig) that connect every component of similar texts."""
+    """(a, b) of nodes(doc_id, bands, sig) that connect every component of similar texts: verified links, or a node and its component."""
     spark = nodes.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("doc_id", F.explode("bands").alias("key")).repartition(partitions, "key")
@@ -161,14 +182,14 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> Da
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
     open_rows = labelled.join(mixed.select("key", F.col("largest.label").alias("largest")), "key")
-    open_rows = open_rows.join(nodes.select("doc_id", "sig"), "doc_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    open_rows = open_rows.join(nodes.select("doc_id", "sig", "bands"), "doc_id").join(bags.select("doc_id", "sketch"), "doc_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = open_rows.withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "probe": F.lit(False)})
     probes = open_rows.where("label <> largest").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "probe": F.lit(True)})
-    columns = ["key", "block", "doc_id", "label", "probe", "sig"]
+    columns = ["key", "block", "doc_id", "label", "probe", "sig", "sketch", "bands"]
     dealt = member.select(*columns).union(probes.select(*columns)).repartition(partitions, "key", "block").sortWithinPartitions("key", "block")
     second = dealt.mapInArrow(_across(threshold), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = verified(written(second, "pairs"), bags, threshold)
-    return found.union(more)
+    return label.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
