@@ -1,3 +1,168 @@
 """Graphs, traces and analytics."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, log, traces
+from ..sources.tables import LOG, RELATIONS, log_rows, relation_rows, table
+
 Q, SQL = {}, {}
+
+
+def query(name: str, sql: str):
+    def add(f):
+        Q[name], SQL[name] = f, sql
+        return f
+
+    return add
+
+
+_BOTH = """both_ways AS (SELECT src AS node, dst AS other, q16 / 65535.0 * 0.8 AS w FROM relations UNION ALL SELECT dst, src, q16 / 65535.0 * 0.8 * 0.9 FROM relations)"""
+
+
+@query("s17_relations", f"WITH {RELATIONS} SELECT * FROM relations")
+def _(spark, d):
+    return relation_rows(spark, d)
+
+
+@query("r9_graph_expand", f"""WITH {RELATIONS}, {_BOTH}, h0 AS (SELECT unnest([1, 2]) AS node, 1.0::DOUBLE AS score),
+h1 AS (SELECT other AS node, max(score * w) AS score FROM h0 JOIN both_ways USING (node) GROUP BY 1),
+h2 AS (SELECT other AS node, max(score * w) AS score FROM h1 JOIN both_ways USING (node) WHERE score >= 0.01 GROUP BY 1),
+a AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2)
+SELECT node, round(max(score), 6) AS score, arg_max(hop, (score, -hop)) AS hop FROM a WHERE node NOT IN (1, 2) GROUP BY node ORDER BY max(score) DESC, node LIMIT 50""")
+def _(spark, d):
+    seeds = spark.range(1, 3).select(F.col("id").alias("node"), F.lit(1.0).alias("score"))
+    return graph.expand(relation_rows(spark, d), seeds, 2, 50).withColumn("score", F.round("score", 6))
+
+
+@query("r10_time_range", f"""WITH {RELATIONS}, hit AS (SELECT * FROM relations WHERE (updated_at >= TIMESTAMP '1996-03-01' AND updated_at < TIMESTAMP '1996-06-01') OR (created_at >= TIMESTAMP '1996-03-01' AND created_at < TIMESTAMP '1996-06-01')),
+e AS (SELECT src AS artifact, updated_at FROM hit UNION ALL SELECT dst, updated_at FROM hit)
+SELECT artifact, count(*) AS n_edges, max(updated_at) AS last_update FROM e GROUP BY 1 ORDER BY last_update DESC, artifact LIMIT 100""")
+def _(spark, d):
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("1996-03-01", "1996-06-01"))
+    return graph.changed_between(relation_rows(spark, d), start, end, 100)
+
+
+@query("a8_living_fields", f"""WITH {RELATIONS}, e AS (SELECT src AS artifact, 1 AS o, 0 AS i FROM relations UNION ALL SELECT dst, 0, 1 FROM relations),
+g AS (SELECT artifact, sum(o) AS o, sum(i) AS i FROM e GROUP BY 1),
+p AS (SELECT o_custkey AS artifact, max(CAST(left(o_orderpriority, 1) AS BIGINT)) AS level, bit_or(1::BIGINT << (o_orderkey % 40 & 31)) AS mask FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+SELECT coalesce(g.artifact, p.artifact) AS artifact, coalesce(o, 0)::BIGINT AS out_count, coalesce(i, 0)::BIGINT AS in_count, coalesce(level, 0) AS pressure_level, coalesce(mask, 0) AS reasons_mask FROM g FULL JOIN p ON g.artifact = p.artifact""")
+def _(spark, d):
+    felt = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("artifact"), F.substring("o_orderpriority", 1, 1).cast("long").alias("level"), (F.col("o_orderkey") % 40).alias("code"))
+    return graph.living_fields(relation_rows(spark, d), felt)
+
+
+@query("j24_orphans", f"WITH {RELATIONS} SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT src FROM relations) AND c_custkey NOT IN (SELECT dst FROM relations)")
+def _(spark, d):
+    return graph.orphans(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), relation_rows(spark, d))
+
+
+@query("r8_distance_boost", f"""WITH {RELATIONS}, b AS (SELECT src AS node, dst AS other FROM relations UNION SELECT dst, src FROM relations),
+h1 AS (SELECT DISTINCT other AS node FROM b WHERE node = 1), h2 AS (SELECT DISTINCT other AS node FROM b JOIN h1 USING (node)),
+a AS (SELECT 1 AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2)
+SELECT CAST(node AS BIGINT) AS node, min(hop) AS hop, 1.0::DOUBLE / (min(hop) + 1) AS boost FROM a GROUP BY 1""")
+def _(spark, d):
+    return graph.distance_boost(relation_rows(spark, d), spark.range(1, 2).select(F.col("id").alias("node")), 2)
+
+
+@query("t10_incoming_page", f"WITH {RELATIONS} SELECT src, dst, kind, q16 FROM relations WHERE dst = 1000001 AND (src, kind) > (20, 'F') ORDER BY src, kind LIMIT 15")
+def _(spark, d):
+    own = relation_rows(spark, d).where("dst = 1000001").select("src", "dst", "kind", "q16")
+    return log.replay(own, (20, "F"), ["src", "kind"], 15)
+
+
+@query("a35_graph_stats", f"WITH {RELATIONS} SELECT kind, CASE WHEN q16 >= 55704 THEN 'high' WHEN q16 >= 32767 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS edges, count(DISTINCT src) AS sources FROM relations GROUP BY 1, 2")
+def _(spark, d):
+    band = F.when(graph.at_least(F.col("q16"), 0.85), "high").when(graph.at_least(F.col("q16"), 0.5), "medium").otherwise("low")
+    return relation_rows(spark, d).groupBy("kind", band.alias("confidence")).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
+
+
+SPANS = """spans AS (SELECT l_orderkey AS trace_id, l_linenumber AS span_id, l_linenumber - 1 AS parent_id, l_linenumber AS depth, 'p' || (l_partkey % 50) AS name, l_quantity AS duration, l_returnflag = 'R' AS had_error FROM lineitem)"""
+
+
+def spans(spark, d):
+    n = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trace_id"), n.alias("span_id"), (n - 1).alias("parent_id"), n.alias("depth"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.col("l_quantity").alias("duration"), (F.col("l_returnflag") == "R").alias("had_error"))
+
+
+@query("a20_code_path", f"WITH {SPANS} SELECT depth, name, count(*) AS calls, sum(duration) AS duration, bool_or(had_error) AS had_error FROM spans WHERE trace_id IN (SELECT trace_id FROM spans WHERE name = 'p7') GROUP BY 1, 2")
+def _(spark, d):
+    return traces.code_path(spans(spark, d), "p7")
+
+
+@query("j11_callers", f"WITH {SPANS} SELECT p.name AS caller, s.name AS callee, count(*) AS calls FROM spans s LEFT JOIN spans p ON s.trace_id = p.trace_id AND s.parent_id = p.span_id GROUP BY 1, 2")
+def _(spark, d):
+    return traces.callers(spans(spark, d))
+
+
+@query("a21_liveness", f"""WITH {SPANS}, s AS (SELECT 'p' || unnest(range(45, 56)) AS name), r AS (SELECT name, count(*) AS n, count(*) FILTER (had_error) AS e, sum(duration) AS duration FROM spans GROUP BY 1)
+SELECT name, coalesce(n, 0) AS executions, coalesce(e, 0) AS errors, coalesce(duration, 0) AS duration, CASE WHEN n IS NULL THEN 'dead' WHEN e = n THEN 'failing' WHEN e > 0 THEN 'flaky' ELSE 'live' END AS verdict FROM s LEFT JOIN r USING (name)""")
+def _(spark, d):
+    symbols = spark.range(45, 56).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"))
+    return traces.liveness(symbols, spans(spark, d))
+
+
+@query("a25_trace_list", f"WITH {SPANS} SELECT trace_id, count(*) AS spans, sum(duration) AS duration, bool_or(had_error) AS had_error FROM spans GROUP BY 1")
+def _(spark, d):
+    return traces.trace_list(spans(spark, d))
+
+
+@query("a23_trace_diff", f"""WITH {SPANS}, a AS (SELECT name, sum(duration) AS a FROM spans WHERE trace_id = 1 GROUP BY 1), b AS (SELECT name, sum(duration) AS b FROM spans WHERE trace_id = 3 GROUP BY 1)
+SELECT name, CASE WHEN b IS NULL THEN 'only_a' WHEN a IS NULL THEN 'only_b' ELSE 'both' END AS side, coalesce(b > 2 * a AND b - a > 1, false) AS slower FROM a FULL JOIN b USING (name)""")
+def _(spark, d):
+    return traces.trace_diff(spans(spark, d), 1, 3)
+
+
+@query("j17_reconcile", """WITH a AS (SELECT o_orderkey AS key, o_orderkey % 7 AS digest FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT DISTINCT l_orderkey AS key, CASE WHEN l_orderkey % 13 = 0 THEN -1 ELSE l_orderkey % 7 END AS digest FROM lineitem WHERE l_orderkey % 9 <> 0)
+SELECT count(*) FILTER (a.digest = b.digest) AS matched, count(*) FILTER (b.digest IS NULL) AS missing_in_other, count(*) FILTER (a.digest IS NULL) AS missing_in_log, count(*) FILTER (a.digest <> b.digest) AS mismatched FROM a FULL JOIN b USING (key)""")
+def _(spark, d):
+    key = F.col("key")
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("key")).where("key % 10 <> 0").withColumn("digest", key % 7)
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")).distinct().where("key % 9 <> 0").withColumn("digest", F.when(key % 13 == 0, F.lit(-1)).otherwise(key % 7))
+    return traces.reconcile(a, b)
+
+
+_CLAIM = "'toxic' AS kind, CAST(doc_id AS VARCHAR) AS subject, CASE WHEN doc_id % 3 > 0 THEN CAST(toxic AS VARCHAR) END AS object"
+
+
+@query("j18_claims_diff", f"""WITH a AS (SELECT {_CLAIM}, 0.5 AS confidence FROM labels WHERE doc_id % 5 <> 0), b AS (SELECT {_CLAIM}, CASE WHEN doc_id % 4 = 0 THEN 0.75 ELSE 0.5 END AS confidence FROM labels WHERE doc_id % 7 <> 0)
+SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.subject, b.subject) AS subject, coalesce(a.object, b.object) AS object, CASE WHEN a.kind IS NULL THEN 'added' WHEN b.kind IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.kind = b.kind AND a.subject = b.subject AND a.object IS NOT DISTINCT FROM b.object WHERE a.kind IS NULL OR b.kind IS NULL OR abs(a.confidence - b.confidence) > 0.001""")
+def _(spark, d):
+    own = table(spark, d, "labels")
+    claim = lambda df, c: df.select(F.lit("toxic").alias("kind"), F.col("doc_id").cast("string").alias("subject"), F.when(F.col("doc_id") % 3 > 0, F.col("toxic").cast("string")).alias("object"), c.alias("confidence"))
+    return traces.claims_diff(claim(own.where("doc_id % 5 <> 0"), F.lit(0.5)), claim(own.where("doc_id % 7 <> 0"), F.when(F.col("doc_id") % 4 == 0, 0.75).otherwise(0.5)))
+
+
+@query("a33_agreement", "SELECT event_type AS kind, CAST(user_id % 50 AS VARCHAR) AS subject, CAST(event_id % 7 AS VARCHAR) AS object, count(DISTINCT user_id) AS agents, CASE WHEN count(DISTINCT user_id) >= 2 THEN 'agreed' ELSE 'unique' END AS status FROM events GROUP BY 1, 2, 3")
+def _(spark, d):
+    return traces.agreement(table(spark, d, "events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 50).cast("string").alias("subject"), (F.col("event_id") % 7).cast("string").alias("object"), F.col("user_id").alias("agent")))
+
+
+@query("a31_burn_attribution", """WITH b AS (SELECT user_id * 100 + day(ts) AS session, min(ts) AS s, max(ts) AS e, count(*) * 10 AS tokens FROM events GROUP BY 1),
+p AS (SELECT * FROM (VALUES ('one', TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-09'), ('two', TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-20'), ('three', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-25')) t(plan, ws, we)),
+m AS (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM b JOIN p ON s <= we AND ws <= e)
+SELECT plan, count(*) AS sessions, sum(tokens // n)::BIGINT AS tokens FROM m GROUP BY 1""")
+def _(spark, d):
+    burns = table(spark, d, "events").groupBy((F.col("user_id") * 100 + F.day("ts")).alias("session")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), (F.count("*") * 10).alias("tokens"))
+    plans = spark.sql("SELECT * FROM VALUES ('one', TIMESTAMP_NTZ '2024-01-02', TIMESTAMP_NTZ '2024-01-09'), ('two', TIMESTAMP_NTZ '2024-01-05', TIMESTAMP_NTZ '2024-01-20'), ('three', TIMESTAMP_NTZ '2024-01-19', TIMESTAMP_NTZ '2024-01-25') AS t(plan, window_start, window_end)")
+    return traces.burn_attribution(burns, plans)
+
+
+@query("wn6_segments", f"""WITH {LOG}, s AS (SELECT *, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq) AS BIGINT) AS segment FROM log)
+SELECT stream_id, seq, segment, CAST(row_number() OVER (PARTITION BY stream_id, segment ORDER BY seq) AS INTEGER) AS turn_in_segment FROM s""")
+def _(spark, d):
+    rows = log_rows(spark, d).withColumn("cut", F.col("event_type") == "error")
+    return traces.segments(rows, ["stream_id"], ["seq"], "cut").select("stream_id", "seq", "segment", "turn_in_segment")
+
+
+@query("a28_idle_ledger", f"""WITH {LOG}, i AS (SELECT stream_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY stream_id ORDER BY seq))) / 6e7 AS idle FROM log)
+SELECT stream_id, CASE WHEN idle < 5 THEN 'under5' WHEN idle < 60 THEN 'under60' ELSE 'over60' END AS band, count(*) AS n FROM i WHERE idle IS NOT NULL GROUP BY 1, 2""")
+def _(spark, d):
+    return traces.idle_ledger(log_rows(spark, d), ["stream_id"], ["seq"], "ts")
+
+
+@query("a9_entity_count", "SELECT event_type AS predicate, user_id % 3 AS tenant, count(DISTINCT user_id) AS entities FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("predicate"), (F.col("user_id") % 3).alias("tenant")).agg(F.countDistinct("user_id").alias("entities"))

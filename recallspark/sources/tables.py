@@ -68,6 +68,6 @@ def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELATIONS = """relations AS (
-  SELECT src, dst, kind, CAST(round(arg_max(confidence, (at, confidence)) * 65535) AS INTEGER) AS q16, min(at) AS created_at, max(at) AS updated_at FROM (
-    SELECT o_custkey AS src, l_suppkey + 1000000 AS dst, l_linestatus AS kind, 1 - l_discount * 5 AS confidence, l_shipdate AS at
+  SELECT src, dst, kind, CAST(round(arg_max(confidence, (moment, confidence)) * 65535) AS INTEGER) AS q16, min(moment) AS created_at, max(moment) AS updated_at FROM (
+    SELECT o_custkey AS src, l_suppkey + 1000000 AS dst, l_linestatus AS kind, 1 - l_discount * 5 AS confidence, l_shipdate AS moment
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY src, dst, kind)"""
