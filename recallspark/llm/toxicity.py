@@ -9,9 +9,11 @@ shared backoff,
     P_c(x | h) = max(N_c(hx) - D, 0) / N_c(h) + lambda_c(h) P'(x | h').
 
 An expression neither class has seen cancels out, apart from lambda_toxic / lambda_ordinary. Every
-count is gathered from all labelled training texts by Spark; only n-grams met LEAST times or more
-enter the model (rarer ones count in the shared backoff alone), and if they are more than
-MODEL_ROWS the least count rises until they fit: that bounds what is broadcast.
+n-gram met in the labelled training texts that are counted enters class counts and continuation
+counts, those met once too. Counts, backoff and ratios are Spark groupBys and joins. Up to
+BROADCAST_ROWS n-grams the ratios are broadcast to the texts; beyond it the n-grams of the distinct
+words are joined with them by shuffles, and the words of the texts with these, to the same results:
+ratios are added as whole multiples of 1 / UNIT, so that the order of a sum can't matter.
 
 A text's score comes from its log-likelihood ratio per character, the ratio of its most toxic
 word, and how many words pass certain ratios for its length, weighed by a logistic fit on training texts.
@@ -23,19 +25,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, texts_of, written
-from .textstats import lower_words, maxima, sums
+from . import common
+from .common import maybe_broadcast, offsets_of, written
+from .textstats import maxima, sums
 from .words import words
 
 ORDER = 5
 DISCOUNT = 0.75
-LEAST = 2
-MODEL_ROWS = 1_000_000
+UNIT = 1 << 24  #: ratios are added as whole multiples of 1 / UNIT
 FIT_ROWS = 50_000  #: labelled rows, by least hash of the doc_id, on which the logistic weights are fitted
 PAD = " "  # never in a word
 CLEAR = (2.0, 3.0, 4.5)  #: log-likelihood ratios beyond which words are counted
@@ -52,40 +54,75 @@ def fold(doc_id):
     return F.pmod(F.xxhash64(doc_id), F.lit(4)) == 0
 
 
-def ngram_counts(labelled: DataFrame) -> DataFrame:
-    """gram, toxic, ordinary: counts of padded ORDER-grams in texts of labelled(text, toxic)."""
-    w = labelled.select("toxic", words(F.col("text").cast("string")).alias("w"))
-    each = w.select(F.explode_outer("w").alias("word"), "toxic").where(F.col("word").isNotNull())
-    by_word = each.groupBy("word").agg(F.sum("toxic").cast("double").alias("toxic"), F.sum(1 - F.col("toxic")).cast("double").alias("ordinary"))
-    padded = F.concat(F.lit(PAD * (ORDER - 1)), F.col("word"), F.lit(PAD))
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(F.col("padded"), i, F.lit(ORDER)))
-    rows = by_word.withColumn("padded", padded).select(F.explode_outer(grams).alias("gram"), "toxic", "ordinary")
-    return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def tokens(docs: DataFrame) -> DataFrame:
+    """A row for each of docs(..., words), the words left out; one of a null word for a row without words."""
+    return docs.select(*(c for c in docs.columns if c != "words"), F.explode_outer("words").alias("word"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, toxic, ordinary: counts of the words of labelled texts, docs(text, toxic)."""
+    each = tokens(docs.select("toxic", words(F.col("text")).alias("words"))).where(F.col("word").isNotNull())
+    return each.groupBy("word").agg(F.count_if(F.col("toxic") == 1).cast("double").alias("toxic"), F.count_if(F.col("toxic") == 0).cast("double").alias("ordinary"))
+
 
+def grams(word: str) -> Column:
+    """The padded ORDER-grams of a word, one for each character and the end."""
+    padded = F.concat(F.lit(PAD * (ORDER - 1)), F.col(word), F.lit(PAD))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
 
-def bounded(counts: DataFrame) -> pd.DataFrame:
-    """The n-grams of the model: as many as MODEL_ROWS allows, by a least count."""
-    both = F.col("toxic") + F.col("ordinary")
-    least = LEAST
-    while counts.where(both >= least).count() > MODEL_ROWS:
-        least *= 2
-    return counts.where(both >= least).toPandas()
+
+def ngram_counts(counted: DataFrame) -> DataFrame:
+    """gram, toxic, ordinary: counts of padded ORDER-grams of counted(word, toxic, ordinary)."""
+    rows = counted.select(F.explode(grams("word")).alias("gram"), "toxic", "ordinary")
+    return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def backoff(grams: pd.DataFrame) -> pd.Series:
-    """The shared P'(x | h') of each n-gram: interpolated Kneser-Ney over continuation counts."""
-    symbols = max(1, grams["gram"].str[-1].nunique())
-    suffix = {n: grams["gram"].str[-n:] for n in range(1, ORDER)}
-    p = pd.Series(1.0 / symbols, index=grams.index)
+def backoff(counts: DataFrame) -> DataFrame:
+    """tail, shared: P'(x | h') of the last ORDER - 1 characters of each n-gram, interpolated Kneser-Ney over continuation counts."""
+    own, longer = {}, counts.select("gram")
+    for n in range(ORDER - 1, 0, -1):  # distinct left neighbours of each n-gram
+        longer = own[n] = written(longer.groupBy(F.substring(longer.columns[0], 2, n).alias("tail")).agg(F.count("*").alias("own")), "continuations")
+    shared = None
     for n in range(1, ORDER):
-        longer = grams["gram"] if n == ORDER - 1 else suffix[n + 1]
-        kinds = longer.drop_duplicates()
-        continued = kinds.groupby(kinds.str[-n:]).size()  # distinct left neighbours of each n-gram
-        context = continued.groupby(continued.index.str[: n - 1]).agg(["sum", "size"])
-        own = continued.reindex(suffix[n]).to_numpy(float)
-        around = context.reindex(suffix[n].str[: n - 1]).to_numpy(float)
-        p = np.maximum(own - DISCOUNT, 0) / around[:, 0] + DISCOUNT * around[:, 1] / around[:, 0] * p
-    return p
+        kinds = own[n].withColumn("h", F.substring("tail", 1, n - 1))
+        context = kinds.groupBy("h").agg(F.sum("own").alias("around"), F.count("*").alias("kinds"))
+        kinds = kinds.join(context, "h")
+        if shared is None:
+            kinds = kinds.withColumn("below", 1.0 / F.col("kinds"))
+        else:
+            kinds = kinds.join(shared.select(F.col("tail").alias("end"), F.col("shared").alias("below")), F.substring("tail", 2, n - 1) == F.col("end"))
+        p = F.greatest(F.col("own") - DISCOUNT, F.lit(0.0)) / F.col("around") + DISCOUNT * F.col("kinds") / F.col("around") * F.col("below")
+        shared = kinds.select("tail", p.alias("shared"))
+    return shared
+
+
+def units(ratio: Column) -> Column:
+    return F.round(ratio * UNIT).cast("long")
+
+
+def train(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Log-likelihood ratios in units: seen(gram, ratio), and context(history, otherwise) for n-grams not seen."""
+    total = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not total[0] or not total[1]:
+        return counts.select("gram", F.lit(0).cast("long").alias("ratio")).limit(0), counts.select(F.col("gram").alias("history"), F.lit(0).cast("long").alias("otherwise")).limit(0)
+    counts = counts.withColumn("history", F.substring("gram", 1, ORDER - 1))
+    sums = [f(c).alias(f"{c}_{name}") for c in ("toxic", "ordinary") for name, f in (("all", F.sum), ("cut", lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))))]
+    by = counts.groupBy("history").agg(*sums)
+    for c in ("toxic", "ordinary"):
+        by = by.withColumn(f"{c}_free", F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_cut") / F.col(f"{c}_all")).otherwise(1.0))
+    by = written(by, "histories")
+    p = {c: F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_free") * F.col("shared") for c in ("toxic", "ordinary")}
+    seen = counts.join(by, "history").join(backoff(counts), F.substring("gram", 2, ORDER - 1) == F.col("tail"))
+    seen = written(seen.select("gram", units(F.log(p["toxic"]) - F.log(p["ordinary"])).alias("ratio")), "ratios")
+    return seen, by.select("history", units(F.log("toxic_free") - F.log("ordinary_free")).alias("otherwise"))
+
+
+def word_ratios(distinct: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
+    """word, ratio in units, chars with the end mark, of each word of distinct(word)."""
+    each = distinct.select("word", F.explode(grams("word")).alias("gram")).withColumn("history", F.substring("gram", 1, ORDER - 1))
+    n = seen.count()
+    each = each.join(maybe_broadcast(seen, n), "gram", "left").join(maybe_broadcast(context, n), "history", "left")
+    return each.groupBy("word").agg(F.sum(F.coalesce("ratio", "otherwise", F.lit(0))).alias("ratio"), F.count("*").alias("chars"))
 
 
 def hashes(points: np.ndarray) -> np.ndarray:
@@ -97,63 +134,92 @@ def hashes(points: np.ndarray) -> np.ndarray:
     return h
 
 
-def _points(texts: list[str], width: int) -> np.ndarray:
-    return np.frombuffer("".join(t.ljust(width, PAD) for t in texts).encode("utf-32-le"), np.uint32).reshape(-1, width)
+def hashed(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, sorted, and the values of (text, value)."""
+    batches = [b for b in ratios.toArrow().to_batches(1 << 16) if b.num_rows]
+    if not batches:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    points = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1)
+    keys = np.concatenate([hashes(points(b.column(0).to_pylist())) for b in batches])
+    values = np.concatenate([b.column(1).to_numpy() for b in batches])
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
-def train(counts: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Log-likelihood ratios by hash of n-grams (seen) and of contexts (for n-grams not seen)."""
-    if not len(counts) or not counts["toxic"].sum() or not counts["ordinary"].sum():
-        zero = np.zeros(0, np.uint64)
-        return {"seen": zero, "seen_llr": np.zeros(0), "context": zero, "context_llr": np.zeros(0)}
-    shared = np.asarray(backoff(counts))
-    history = counts["gram"].str[:-1]
-    side = {}
-    for c in ("toxic", "ordinary"):
-        n = counts[c].to_numpy()
-        by = pd.DataFrame({"h": history, "n": n, "kinds": n > 0, "cut": np.minimum(n, DISCOUNT)}).groupby("h").agg({"n": "sum", "cut": "sum"})
-        total, cut = by["n"].reindex(history).to_numpy(), by["cut"].reindex(history).to_numpy()
-        free = np.where(total > 0, cut / np.maximum(total, 1e-9), 1.0)
-        p = np.where(total > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1e-9), 0.0) + free * shared
-        side[c] = np.log(np.maximum(p, 1e-12)), np.log(np.maximum(free, 1e-12))
-    first = ~history.duplicated().to_numpy()
-    seen, context = hashes(_points(counts["gram"].tolist(), ORDER)), hashes(_points(history[first].tolist(), ORDER - 1))
-    a, b = np.argsort(seen), np.argsort(context)
-    return {"seen": seen[a], "seen_llr": (side["toxic"][0] - side["ordinary"][0])[a], "context": context[b], "context_llr": (side["toxic"][1] - side["ordinary"][1])[first][b]}
-
-
-def _found(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, values[at]
-
-
-def word_ratios(model: dict[str, np.ndarray], distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood ratio, characters with the end mark) of each word."""
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: np.ndarray | int) -> np.ndarray:
+    if not len(table[0]):
+        return np.zeros(len(keys), np.int64) + otherwise
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return np.where(table[0][at] == keys, table[1][at], otherwise)
+
+
+def ratios_of(model: tuple, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio in units, characters with the end mark) of each word, as word_ratios gives them."""
     sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
     gap = PAD * (ORDER - 1)
     points = np.frombuffer((gap + gap.join(distinct) + gap).encode("utf-32-le"), np.uint32)
+    starts = np.append(0, np.cumsum(sizes + 1))
     ends = np.cumsum(sizes + ORDER - 1)  # the first pad after each word
-    last = np.repeat(ends - sizes, sizes + 1) + np.arange(int((sizes + 1).sum())) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
+    last = np.repeat(ends - sizes, sizes + 1) + np.arange(starts[-1]) - np.repeat(starts[:-1], sizes + 1)
     windows = np.lib.stride_tricks.sliding_window_view(points, ORDER)[last - (ORDER - 1)]
-    seen, ratio = _found(model["seen"], model["seen_llr"], hashes(windows))
-    known, otherwise = _found(model["context"], model["context_llr"], hashes(windows[:, :-1]))
-    each = np.where(seen, ratio, np.where(known, otherwise, 0.0))
-    return sums(each, np.append(0, np.cumsum(sizes + 1))), sizes + 1
+    seen, context = model
+    return sums(_found(seen, hashes(windows), _found(context, hashes(windows[:, :-1]), 0)), starts), sizes + 1
+
+
+BEYOND = tuple(f"beyond_{k}" for k in range(len(CLEAR)))
+SUMS = ("total", "chars", "worst", "n", *BEYOND)
+
 
+def sums_of(model: tuple, column: pa.Array) -> list[np.ndarray]:
+    """SUMS of each list of words; zeros for one without words."""
+    flat, offsets = column.flatten(), offsets_of(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if not len(flat):
+        return [np.zeros(len(column), np.int64) for _ in SUMS]
+    coded = pc.dictionary_encode(flat)
+    codes = coded.indices.to_numpy().astype(np.int64)
+    ratio, chars = (x[codes] for x in ratios_of(model, coded.dictionary.to_pylist()))
+    beyond = [sums((ratio > int(c * UNIT)).astype(np.int64), offsets) for c in CLEAR]
+    return [sums(ratio, offsets), sums(chars, offsets), maxima(ratio, offsets, 0.0).astype(np.int64), np.diff(offsets), *beyond]
 
-def text_features(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
-    """FEATURES of each text; zeros for one without words."""
-    codes, distinct, offsets = lower_words(texts)
-    if not distinct:
-        return np.zeros((len(texts), len(FEATURES)))
-    ratio, chars = word_ratios(model, distinct)
-    per_word = ratio[codes]
-    per_char = sums(per_word, offsets) / np.maximum(sums(chars[codes], offsets), 1)
-    worst = np.log1p(np.maximum(maxima(per_word, offsets, 0.0), 0.0))
-    beyond = [np.log1p(sums((per_word > c).astype(np.int64), offsets)) for c in CLEAR]
-    return np.stack([per_char, worst, *beyond, np.log1p(np.diff(offsets))], axis=1)
+
+def by_broadcast(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
+    """SUMS of each row of docs(..., words), the words left out, by the broadcast ratios of n-grams."""
+    model = docs.sparkSession.sparkContext.broadcast((hashed(seen), hashed(context)))
+    keys = [c for c in docs.columns if c != "words"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                some = batch.slice(i, 1000)
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keys), *map(pa.array, sums_of(model.value, some.column("words")))], names=[*keys, *SUMS])
+
+    kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys] + [f"{k} long" for k in SUMS]
+    return docs.mapInArrow(each, ", ".join(kinds))
+
+
+def by_joins(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
+    """The same by shuffles: n-grams of the distinct words with their ratios, then the words of the texts with these."""
+    distinct = tokens(docs.select("words")).where(F.col("word").isNotNull()).distinct()
+    ratios = written(word_ratios(distinct, seen, context), "word-ratios")
+    keys = ["row", *(c for c in docs.columns if c != "words")]
+    each = tokens(docs.withColumn("row", F.monotonically_increasing_id())).join(maybe_broadcast(ratios, ratios.count()), "word", "left")
+    beyond = [F.count_if(F.col("ratio") > int(c * UNIT)).alias(name) for name, c in zip(BEYOND, CLEAR, strict=True)]
+    by = each.groupBy(*keys).agg(F.sum("ratio").alias("total"), F.sum("chars").alias("chars"), F.max("ratio").alias("worst"), F.count("word").alias("n"), *beyond)
+    return by.select(*keys[1:], *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
+
+
+def text_features(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
+    """FEATURES of each row of docs(..., text), the text left out; zeros for one without words."""
+    keys = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*keys, words(F.col("text")).alias("words"))
+    by = (by_broadcast if seen.count() <= common.BROADCAST_ROWS else by_joins)(rows, seen, context)
+    made = [
+        F.col("total") / float(UNIT) / F.greatest("chars", F.lit(1)),
+        F.log1p(F.greatest("worst", F.lit(0)) / float(UNIT)),
+        *(F.log1p(b) for b in BEYOND),
+        F.log1p("n"),
+    ]
+    return by.select(*keys, *(f.alias(name) for name, f in zip(FEATURES, made, strict=True)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> dict:
@@ -184,25 +250,14 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
 
 def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """`score` with text_hash, which with the doc_id finds a row again."""
-    spark = docs.sparkSession
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out("doc_id", modulus, remainder).alias("held_out"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = written(marks.where(~held_out("doc_id", modulus, remainder)), "toxic-labels")
     small = maybe_broadcast(marks, marks.count())
-    known = own.join(small, "doc_id").where(~fold(F.col("doc_id"))).select("text", "toxic")
-    counts = written(ngram_counts(known), "grams")
-    model = spark.sparkContext.broadcast(train(bounded(counts)))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
-                f = text_features(model.value, texts_of(some.column("text")))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), some.column("text_hash"), *(pa.array(f[:, k]) for k in range(f.shape[1]))], names=["doc_id", "held_out", "text_hash", *FEATURES])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = written(own.mapInArrow(features, f"doc_id {kind}, held_out boolean, text_hash long, " + ", ".join(f"{f} double" for f in FEATURES)), "toxicity")
+    counted = word_counts(own.join(small, "doc_id").where(~fold(F.col("doc_id"))))
+    model = train(written(ngram_counts(counted), "grams"))
+    known = written(text_features(own, *model), "toxicity")
     fit = known.join(small, "doc_id").where(fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
     fitted = logistic(fit[list(FEATURES)].to_numpy(float), fit["toxic"].to_numpy(float))
     return known.select("doc_id", "held_out", "text_hash", probability(fitted).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
