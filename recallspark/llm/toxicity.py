@@ -9,8 +9,8 @@ shared backoff,
     P_c(x | h) = max(N_c(hx) - D, 0) / N_c(h) + lambda_c(h) P'(x | h').
 
 An expression neither class has seen cancels out, apart from lambda_toxic / lambda_ordinary. Every
-n-gram met in the labelled training texts that are counted enters class counts and continuation
-counts, those met once too. Counts, backoff and ratios are Spark groupBys and joins. Up to
+n-gram of all labelled training texts enters class counts and continuation counts, those met once
+too. Counts, backoff and ratios are Spark groupBys and joins. Up to
 BROADCAST_ROWS n-grams the ratios are broadcast to the texts; beyond it the n-grams of the distinct
 words are joined with them by shuffles, and the words of the texts with these, to the same results:
 ratios are added as whole multiples of 1 / UNIT, so that the order of a sum can't matter.
@@ -50,7 +50,7 @@ def held_out(doc_id, modulus: int, remainder: int):
 
 
 def fold(doc_id):
-    """Training rows on which the weights are fitted: a quarter, kept out of the counts so that these can't flatter them."""
+    """A quarter of the training rows: at most FIT_ROWS of them are kept out of the counts while the weights are fitted, so that these can't flatter them."""
     return F.pmod(F.xxhash64(doc_id), F.lit(4)) == 0
 
 
@@ -59,10 +59,14 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select(*(c for c in docs.columns if c != "words"), F.explode_outer("words").alias("word"))
 
 
+COUNTS = ("toxic", "ordinary", "fit_toxic", "fit_ordinary")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, toxic, ordinary: counts of the words of labelled texts, docs(text, toxic)."""
-    each = tokens(docs.select("toxic", words(F.col("text")).alias("words"))).where(F.col("word").isNotNull())
-    return each.groupBy("word").agg(F.count_if(F.col("toxic") == 1).cast("double").alias("toxic"), F.count_if(F.col("toxic") == 0).cast("double").alias("ordinary"))
+    """word, COUNTS: counts of the words of labelled texts, docs(text, toxic, fit), in all of them and in those marked `fit`."""
+    each = tokens(docs.select("toxic", "fit", words(F.col("text")).alias("words"))).where(F.col("word").isNotNull())
+    is_in = (F.col("toxic") == 1, F.col("toxic") == 0, (F.col("toxic") == 1) & F.col("fit"), (F.col("toxic") == 0) & F.col("fit"))
+    return each.groupBy("word").agg(*(F.count_if(c).cast("double").alias(name) for c, name in zip(is_in, COUNTS, strict=True)))
 
 
 def grams(word: str) -> Column:
@@ -72,9 +76,14 @@ def grams(word: str) -> Column:
 
 
 def ngram_counts(counted: DataFrame) -> DataFrame:
-    """gram, toxic, ordinary: counts of padded ORDER-grams of counted(word, toxic, ordinary)."""
-    rows = counted.select(F.explode(grams("word")).alias("gram"), "toxic", "ordinary")
-    return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    """gram, COUNTS: counts of padded ORDER-grams of counted(word, COUNTS)."""
+    rows = counted.select(F.explode(grams("word")).alias("gram"), *COUNTS)
+    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def without_fit(counts: DataFrame) -> DataFrame:
+    """The counts without the texts marked `fit`, of n-grams that the others have."""
+    return counts.select("gram", (F.col("toxic") - F.col("fit_toxic")).alias("toxic"), (F.col("ordinary") - F.col("fit_ordinary")).alias("ordinary")).where("toxic + ordinary > 0")
 
 
 def backoff(counts: DataFrame) -> DataFrame:
@@ -255,10 +264,14 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = written(marks.where(~held_out("doc_id", modulus, remainder)), "toxic-labels")
     small = maybe_broadcast(marks, marks.count())
-    counted = word_counts(own.join(small, "doc_id").where(~fold(F.col("doc_id"))))
-    model = train(written(ngram_counts(counted), "grams"))
-    known = written(text_features(own, *model), "toxicity")
-    fit = known.join(small, "doc_id").where(fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
+    present = own.select("doc_id").distinct()
+    sample = marks.where(fold(F.col("doc_id"))).join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    sample = written(sample.withColumn("fit", F.lit(True)), "fit-labels")
+    marked = own.join(small, "doc_id").join(F.broadcast(sample.select("doc_id", "fit")), "doc_id", "left").withColumn("fit", F.coalesce("fit", F.lit(False)))
+    counts = written(ngram_counts(word_counts(marked)), "grams")
+    fit = text_features(own.join(F.broadcast(sample), "doc_id").drop("fit"), *train(without_fit(counts)))
+    fit = fit.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
+    known = written(text_features(own, *train(counts)), "toxicity")
     fitted = logistic(fit[list(FEATURES)].to_numpy(float), fit["toxic"].to_numpy(float))
     return known.select("doc_id", "held_out", "text_hash", probability(fitted).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

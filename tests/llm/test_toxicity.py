@@ -46,10 +46,12 @@ def brute(texts):
 
 
 def test_every_ngram_is_in_the_model(spark):
-    counts = toxicity.ngram_counts(toxicity.word_counts(spark.createDataFrame(TEXTS, DOCS).where("toxic is not null")))
+    counts = toxicity.ngram_counts(toxicity.word_counts(spark.createDataFrame(TEXTS, DOCS).where("toxic is not null").selectExpr("*", "doc_id = 1 AS fit")))
     want, ratios, contexts = brute(TEXTS)
     assert {r.gram: (r.toxic, r.ordinary) for r in counts.collect()} == want
     assert sum(a + b == 1 for a, b in want.values()) > 20  # met once
+    rest = {r.gram: (r.toxic, r.ordinary) for r in toxicity.without_fit(counts).collect()}
+    assert rest == brute(TEXTS[1:])[0]
     seen, context = toxicity.train(counts)
     seen = {r.gram: r.ratio / UNIT for r in seen.collect()}
     context = {r.history: r.otherwise / UNIT for r in context.collect()}
@@ -62,3 +64,12 @@ def test_scores_don_t_depend_on_the_kind_of_join(spark, sf_dir, monkeypatch):
     want = sorted(tuple(r) for r in toxicity.score(docs, labels).collect())
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     assert sorted(tuple(r) for r in toxicity.score(docs, labels).collect()) == want
+
+
+def test_expressions_of_fit_rows_alone_are_known(spark):
+    rows = spark.range(600).selectExpr("id AS doc_id", "pmod(xxhash64(id), 4) = 0 AS fold", "id % 3 = 0 AS bad")
+    text = "CASE WHEN bad THEN 'vile grub' ELSE 'kind words' END || ' of day ' || doc_id % 7 || CASE WHEN bad AND fold THEN ' zzqxxq' ELSE '' END"
+    labelled = rows.selectExpr("doc_id", f"{text} AS text", "int(bad) AS toxic")
+    asked = spark.createDataFrame([(9001, "zzqxxq"), (9002, "jjvwwv")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(labelled.select("doc_id", "text").union(asked), labelled).where("doc_id > 9000").collect()}
+    assert score[9001] > 10 * score[9002]  # equal where the rows are left out of the counts
