@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import maybe_broadcast, scratch, written
 
 BITS = 12
 DEPTH = 240  #: bits of the two hashes that are used
@@ -58,6 +58,28 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
             return done
 
 
+def placed(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(rows(doc_id, size, doc) with shard (bits) and depth, the directory)."""
+    spark = rows.sparkSession
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    with scratch(spark):
+        # the bits are made from a row's place, so sums and rows must come from one written table
+        rows = written(numbered.withColumn("bits", hash_bits(F.col("doc_id"), F.col("row"))).drop("row"), "rows", keep=True)
+        shards = written(directory(rows.select("bits", "size"), limit), "directory", keep=True)
+    n = shards.count()
+    depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())  # DEPTH + 1 numbers at most
+    if not depths:
+        return rows.drop("bits").select("*", F.lit("").alias("shard"), F.lit(0).alias("depth")).limit(0), shards
+    # each row probes the depths that exist; one matches
+    tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("shard")) for d in depths)))
+    probe = rows.withColumn("t", tries).drop("bits").select("*", "t.shard", "t.depth").drop("t")
+    return probe.join(maybe_broadcast(shards.select("shard", "depth"), n, 64), ["shard", "depth"], "left_semi"), shards
+
+
+def text_bytes() -> Column:
+    return F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+
+
 def assign(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(a row for each of docs(doc_id, text) with its shard, the directory).
 
@@ -66,25 +88,19 @@ def assign(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     itself or with documents that the bits cannot part from it. Null ids are a key of their own;
     equal rows part by their numbers. An empty table gives no rows and an empty directory.
     """
-    numbered = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
-    rows = written(numbered.withColumn("bits", hash_bits(F.col("doc_id"), F.col("row"))), "rows")
-    shards = written(directory(rows.select("bits", "size"), limit), "directory")
-    n = shards.count()
-    depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())  # DEPTH + 1 numbers at most
-    # each row probes the depths that exist; one matches
-    tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("shard")) for d in depths))) if depths else None
-    if tries is None:
-        return rows.select("doc_id", F.col("size").alias("n_bytes"), F.lit("").alias("shard"), F.lit(0).alias("depth")).limit(0), shards
-    probe = rows.select("doc_id", F.col("size").alias("n_bytes"), tries.alias("t")).select("doc_id", "n_bytes", "t.shard", "t.depth")
-    return probe.join(maybe_broadcast(shards.select("shard", "depth"), n), ["shard", "depth"]).select("doc_id", "n_bytes", "shard", "depth"), shards
+    rows, shards = placed(docs.select("doc_id", text_bytes().alias("size")), limit)
+    return rows.select("doc_id", F.col("size").alias("n_bytes"), "shard", "depth"), shards
 
 
 def write_shards(docs: DataFrame, limit: int, path: str) -> DataFrame:
     """Write docs, all columns, as one folder per shard under `path`; returns the directory.
 
-    Rows are matched to shards by their hash bits again, so docs must have a unique doc_id here.
+    Folders are `shard=s<bits>`; where docs has a column of that name, `_shard=s<bits>` and so on.
+    Rows are placed as by `assign`; repeated ids are rows like others.
     """
-    assigned, shards = assign(docs, limit)
-    placed = docs.join(assigned.select("doc_id", "shard"), docs["doc_id"].eqNullSafe(assigned["doc_id"])).drop(assigned["doc_id"])
-    placed.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in docs.columns:
+        name = "_" + name
+    rows, shards = placed(docs.select("doc_id", text_bytes().alias("size"), F.struct("*").alias("doc")), limit)
+    rows.select("doc.*", F.concat(F.lit("s"), "shard").alias(name)).repartition(name).write.partitionBy(name).parquet(path)
     return shards
