@@ -36,10 +36,27 @@ def stem(word: Column) -> Column:
     return out.when(plural, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
-def tokens(text: Column) -> Column:
-    """Stemmed search tokens in order, repeats kept: runs of letters, digits and apostrophes of over one byte."""
+def words(text: Column) -> Column:
+    """Search words in order, repeats kept: runs of letters, digits and apostrophes of over one byte, in lower case."""
     found = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.transform(F.filter(found, lambda w: F.octet_length(w) > 1), stem)
+    return F.filter(found, lambda w: F.octet_length(w) > 1)
+
+
+def tokens(text: Column) -> Column:
+    """Stemmed search tokens in order, for short texts; retrieval.terms_of makes rows of them, which is faster."""
+    return F.transform(words(text), stem)
+
+
+def case_terms(text: Column) -> Column:
+    """Distinct terms of a task: runs of letters and digits of two bytes or more, in lower case."""
+    found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.filter(found, lambda w: F.octet_length(w) >= 2))
+
+
+def query_terms(text: Column) -> Column:
+    """Sorted distinct terms of a memory query: letters, digits, - and _, two bytes or more."""
+    found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_-]+")
+    return F.array_sort(F.array_distinct(F.filter(found, lambda w: F.octet_length(w) >= 2)))
 
 
 def stem_sql(w: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import kept
+
 DAMPING, INCOMING, PRUNE = 0.8, 0.9, 0.01
 
 
@@ -25,59 +27,111 @@ def relations(pairs: DataFrame) -> DataFrame:
     )
 
 
-def living_fields(edges: DataFrame, pressure: DataFrame) -> DataFrame:
-    """artifact, out_count, in_count, pressure_level, reasons_mask of relations and unresolved pressure(artifact, level, code)."""
+def dependents(seen: DataFrame) -> DataFrame:
+    """artifact, kind, dependent, last_seen, weight: the latest time and largest weight of seen(artifact, kind, dependent, at, weight)."""
+    return seen.groupBy("artifact", "kind", "dependent").agg(F.max("at").alias("last_seen"), F.max("weight").alias("weight"))
+
+
+def living_fields(edges: DataFrame, pressure: DataFrame, depends: DataFrame | None = None) -> DataFrame:
+    """artifact, out_count, in_count, pressure_level, reasons_mask of relations and unresolved pressure(artifact, level, code).
+
+    With depends(artifact, dependent) also dependents_count.
+    """
     ends = edges.select(F.col("src").alias("artifact"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
     degree = ends.groupBy("artifact").agg(F.sum("o").alias("out_count"), F.sum("i").alias("in_count"))
     felt = pressure.groupBy("artifact").agg(F.max("level").alias("pressure_level"), F.expr("bit_or(shiftleft(1L, int(code & 31)))").alias("reasons_mask"))
-    zero = F.lit(0)
-    return degree.join(felt, "artifact", "full_outer").select(
-        "artifact", *(F.coalesce(c, zero).cast("long").alias(c) for c in ("out_count", "in_count", "pressure_level", "reasons_mask"))
-    )
+    out, names = degree.join(felt, "artifact", "full_outer"), ["out_count", "in_count", "pressure_level", "reasons_mask"]
+    if depends is not None:
+        out = out.join(depends.groupBy("artifact").agg(F.count("*").alias("dependents_count")), "artifact", "full_outer")
+        names.append("dependents_count")
+    return out.select("artifact", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names))
+
 
+#: How far a relation kind carries a score; other kinds count 1.
+EDGE_BOOST = {"supports": 1.5, "contradicts": 1.5, "supersedes": 1.3, "derived_from": 1.3, "cites": 1.2, "about_same_entity": 1.4}
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int, budget: int) -> DataFrame:
-    """node, score, hop of the best nodes that `hops` (1 to 5) reach from seeds(node, score), seeds left out.
 
-    Each hop gives a neighbour parent * confidence * 0.8, against the edge's direction a tenth less;
-    parents under 0.01 don't spread; of several ways the best counts.
+def expand(edges: DataFrame, seeds: DataFrame, hops: int, budget: int, kinds: list[str] | None = None, floor: float = 0.0, boosts: dict[str, float] = EDGE_BOOST) -> DataFrame:
+    """node, score, hop, kinds of the best nodes that `hops` (1 to 5) reach from seeds(node, score), seeds left out.
+
+    Each hop gives a neighbour parent * confidence * boost of the kind * 0.8, against the edge's
+    direction a tenth less, with parents' scores as of the hop's start; of several ways the best
+    counts. Only nodes met for the first time spread on, and none under 0.01. The search ends early
+    when it has met more than three times the budget. `kinds` and `floor` leave edges out.
     """
     hops, budget = min(max(hops, 1), 5), min(max(budget, 1), 200)
-    c = F.col("q16") / 65535.0
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), (c * DAMPING).alias("w"))
-    both = both.union(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"), (c * DAMPING * INCOMING).alias("w")))
-    found = seeds.select("node", "score", F.lit(0).alias("hop"))
-    front = found
+    own = edges.where(at_least(F.col("q16"), min(max(floor, 0.0), 1.0)))
+    if kinds:
+        own = own.where(F.col("kind").isin(kinds))
+    boost = F.lit(1.0)
+    for kind, value in boosts.items():
+        boost = F.when(F.col("kind") == kind, value).otherwise(boost)
+    w = F.col("q16") / 65535.0 * boost * DAMPING
+    both = own.select(F.col("src").alias("node"), F.col("dst").alias("to"), "kind", w.alias("w"))
+    both = both.union(own.select(F.col("dst").alias("node"), F.col("src").alias("to"), "kind", (w * INCOMING).alias("w")))
+    none = F.array().cast("array<string>")
+    found = kept(seeds.select("node", F.col("score").cast("double").alias("score"), F.lit(0).alias("hop"), none.alias("kinds"), F.lit(True).alias("fresh")), "expand")
     for hop in range(1, hops + 1):
-        near = front.where(F.col("score") >= PRUNE).join(both, "node").groupBy("to").agg(F.max(F.col("score") * F.col("w")).alias("score"))
-        front = near.select(F.col("to").alias("node"), "score", F.lit(hop).alias("hop"))
-        best = found.union(front).groupBy("node").agg(F.max(F.struct("score", (-F.col("hop")).alias("near"))).alias("b"))
-        found = best.select("node", "b.score", (-F.col("b.near")).alias("hop"))
-    out = found.join(seeds.select("node"), "node", "left_anti")
+        front = found.where(F.col("fresh") & (F.col("score") >= PRUNE)).select("node", "score")
+        reach = front.join(both, "node").groupBy("to").agg(F.max(F.col("score") * F.col("w")).alias("new"), F.collect_set("kind").alias("via"))
+        met = found.join(reach, found["node"] == reach["to"], "full_outer")
+        better = F.col("score").isNull() | (F.col("new") > F.col("score"))
+        found = kept(met.select(
+            F.coalesce("node", "to").alias("node"), F.when(better, F.col("new")).otherwise(F.col("score")).alias("score"),
+            F.when(better, F.lit(hop)).otherwise(F.col("hop")).alias("hop"),
+            F.array_union(F.coalesce("kinds", none), F.coalesce("via", none)).alias("kinds"), F.col("node").isNull().alias("fresh"),
+        ), "expand")
+        seen = found.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
+        if not seen["fresh"] or seen["n"] > 3 * budget:
+            break
+    out = found.join(seeds.select("node"), "node", "left_anti").select("node", "score", "hop", F.array_sort("kinds").alias("kinds"))
     return out.orderBy(F.desc("score"), "node").limit(budget)
 
 
-def changed_between(edges: DataFrame, start: Column, end: Column, limit: int) -> DataFrame:
-    """artifact, n_edges, last_update: artifacts with edges created or updated in [start, end), newest first."""
-    moved = ((F.col("updated_at") >= start) & (F.col("updated_at") < end)) | ((F.col("created_at") >= start) & (F.col("created_at") < end))
-    hit = edges.where(moved)
+def _moved(start: Column, end: Column) -> Column:
+    return ((F.col("updated_at") >= start) & (F.col("updated_at") < end)) | ((F.col("created_at") >= start) & (F.col("created_at") < end))
+
+
+def changed_between(edges: DataFrame, states: DataFrame, start: Column, end: Column, limit: int) -> DataFrame:
+    """artifact, state, n_edges, last_update: artifacts whose state or edges changed in [start, end), newest first.
+
+    states(artifact, state, created_at, updated_at). An artifact without a state of its own has null,
+    one whose state changed without its edges has 0 edges.
+    """
+    hit = edges.where(_moved(start, end))
     ends = hit.select(F.col("src").alias("artifact"), "updated_at").union(hit.select("dst", "updated_at"))
-    out = ends.groupBy("artifact").agg(F.count("*").alias("n_edges"), F.max("updated_at").alias("last_update"))
+    by_edges = ends.groupBy("artifact").agg(F.count("*").alias("n_edges"), F.max("updated_at").alias("edge_update"))
+    moved = states.where(_moved(start, end)).select("artifact", F.col("updated_at").alias("state_update"))
+    out = moved.join(by_edges, "artifact", "full_outer").join(states.select("artifact", "state"), "artifact", "left")
+    out = out.select("artifact", "state", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.greatest("state_update", "edge_update").alias("last_update"))
     return out.orderBy(F.desc("last_update"), "artifact").limit(min(max(limit, 1), 500))
 
 
+def changed_edges(edges: DataFrame, artifacts: DataFrame, start: Column, end: Column) -> DataFrame:
+    """artifact, src, dst, kind: the edges changed in [start, end) of each of artifacts(artifact), at either end, and its other end's state.
+
+    artifacts must have `state`, too, of all artifacts that may be the other end (null where unknown).
+    """
+    hit = edges.where(_moved(start, end)).select("src", "dst", "kind")
+    sides = hit.select(F.col("src").alias("artifact"), "src", "dst", "kind").union(hit.select("dst", "src", "dst", "kind"))
+    return sides.distinct().join(artifacts.select("artifact"), "artifact", "left_semi")
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(node) at no end of an edge."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes.join(ends, "node", "left_anti")
 
 
-def distance_boost(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """node, hop, boost 1 / (hop + 1): undirected breadth-first distance from seeds(node), up to `hops`."""
+def distance_boost(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] | None = None) -> DataFrame:
+    """node, hop, boost 1 / (hop + 1): undirected breadth-first distance from seeds(node), up to `hops`, over edges of some kinds."""
+    if kinds:
+        edges = edges.where(F.col("kind").isin(kinds))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     found = seeds.select("node", F.lit(0).alias("hop"))
     front = found
     for hop in range(1, hops + 1):
         front = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node"), F.lit(hop).alias("hop")).distinct().join(found.select("node"), "node", "left_anti")
+        front = kept(front, "hop")
         found = found.union(front)
     return found.select("node", "hop", (1.0 / (F.col("hop") + 1)).alias("boost"))

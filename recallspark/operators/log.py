@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranked import numbered
+
 
 def sequenced(events: DataFrame, stream: list[str], order: list[str]) -> DataFrame:
     """Events with seq from 1 within their stream."""
@@ -30,17 +32,47 @@ def read_tail(log: DataFrame, n: int, stream: list[str]) -> DataFrame:
 
 
 def replay(log: DataFrame, cursor: tuple | None, order: list[str], limit: int) -> DataFrame:
-    """The next `limit` rows in the order of two columns after a cursor."""
+    """The next `limit` rows in the order of two columns after a cursor.
+
+    For sealed rows only give a log without its head (see `sealed`).
+    """
     a, b = order
     if cursor is not None:
         log = log.where((F.col(a) > cursor[0]) | ((F.col(a) == cursor[0]) & (F.col(b) > cursor[1])))
     return log.orderBy(a, b).limit(limit)
 
 
+def admission(batch: DataFrame, stream: list[str], size: str, expected: DataFrame, last: DataFrame, tombstones: DataFrame, most_rows: int = 1024, most_bytes: int = 16 << 20) -> DataFrame:
+    """One row for each stream of a batch: rows, bytes, and why it is refused as a whole (null: admitted).
+
+    Too many rows or bytes, a tombstone, or an expected next seq (0: any) other than the stream's last
+    (last(stream, last)) and one.
+    """
+    sums = batch.groupBy(*stream).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+    out = sums.join(expected, stream, "left").join(last, stream, "left").join(tombstones.select(*stream, F.lit(True).alias("tombstone")).distinct(), stream, "left")
+    next_seq = F.coalesce("last", F.lit(0)) + 1
+    why = F.when(F.col("tombstone"), "tombstoned").when(F.col("rows") > most_rows, "too_many_events").when(F.col("bytes") > most_bytes, "too_many_bytes")
+    why = why.when((F.coalesce("expected_next_seq", F.lit(0)) != 0) & (F.col("expected_next_seq") != next_seq), "seq_conflict")
+    return out.select(*stream, "rows", "bytes", why.alias("refused"))
+
+
+def sealed(log: DataFrame, head: DataFrame, stream: list[str]) -> DataFrame:
+    """The log without the rows of its unsealed head: those of a stream from head(stream, head_seq) on."""
+    both = log.join(F.broadcast(head), stream, "left")
+    return both.where(F.col("head_seq").isNull() | (F.col("seq") < F.col("head_seq"))).drop("head_seq")
+
+
+def read_many(log: DataFrame, wanted: DataFrame, stream: list[str]) -> DataFrame:
+    """Events of the streams in wanted(stream, from_seq, max_events), each from its seq on and up to its number, 0 being all."""
+    own = log.join(F.broadcast(wanted), stream).where(F.col("seq") >= F.col("from_seq"))
+    return own.where((F.col("max_events") == 0) | (F.col("seq") < F.col("from_seq") + F.col("max_events"))).drop("from_seq", "max_events")
+
+
 def append_status(batch: DataFrame, committed: DataFrame, stream: list[str], order: str, max_bytes: int = 128) -> DataFrame:
     """batch with status APPENDED, DUPLICATE_COMMITTED, DUPLICATE_IN_BATCH or REJECTED and the seq of appended rows.
 
     An event id that is null, empty or too long is rejected; the first of equal ids in a batch counts.
+    Streams that `admission` refuses are not to be in the batch.
     """
     known = committed.groupBy(*stream, "event_key").agg(F.lit(True).alias("_known"))
     last = committed.groupBy(*stream).agg(F.max("seq").alias("_last"))
@@ -67,10 +99,10 @@ def chain_breaks(chain: DataFrame, by: list[str]) -> DataFrame:
 
 
 def range_digests(log: DataFrame, by: list[str], order: str, value: str, chunk: int = 128) -> DataFrame:
-    """by, chunk, records, digest: SHA-256 over each run of `chunk` records in order."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    placed = log.withColumn("_n", n).withColumn("chunk", F.floor(F.col("_n") / chunk).cast("long"))
-    item = F.array_sort(F.collect_list(F.struct("_n", F.sha2(F.col(value).cast("string"), 256).alias("h"))))
+    """by, chunk, records, digest: SHA-256 over each run of `chunk` records in the order of a number or time that tells them apart."""
+    own = log.select(*by, order, F.sha2(F.col(value).cast("string"), 256).alias("h"))
+    placed = numbered(own, by, F.col(order), [order], "n").withColumn("chunk", F.expr(f"(n - 1) div {chunk}"))
+    item = F.array_sort(F.collect_list(F.struct("n", "h")))
     out = placed.groupBy(*by, "chunk").agg(F.count("*").alias("records"), item.alias("items"))
     return out.select(*by, "chunk", "records", F.sha2(F.array_join(F.transform("items", lambda x: x["h"]), ""), 256).alias("digest"))
 

@@ -1,76 +1,156 @@
-"""Retrieval: inverted index, BM25 with coverage, vectors, fusion."""
+"""Retrieval: inverted index, BM25 with coverage, vectors, fusion, graph boosts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import stem, words
+from ..sources.steps import kept
 
 K1, B = 1.2, 0.75
+BUCKETS = 64  #: folders of a written index, by term
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings: term, doc_id, tf, doc_len, tenant, segment. docs: doc_id, doc_len, tenant, segment. Written ones have a bucket, too."""
+
+    postings: DataFrame
+    docs: DataFrame
+    buckets: int | None = None
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; of a written index only their folders and row groups are read."""
+        wanted = sorted(set(terms))
+        found = self.postings.where(F.col("term").isin(wanted))
+        if self.buckets:
+            spark = self.postings.sparkSession
+            at = spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(self.buckets).alias("b")).distinct()
+            found = found.where(F.col("bucket").isin([r.b for r in at.collect()]))  # a folder number for each query term at most
+        return found
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")
+
+
+def terms_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, position (from 0), term: the stemmed tokens of each text in order; a null term for one without.
+
+    Words are rows here, so stems are computed by compiled code, once for each word.
+    """
+    each = docs.select(key, F.posexplode_outer(words(F.col("text"))).alias("position", "word"))
+    return each.select(key, "position", stem(F.col("word")).alias("term"))
+
+
+def tokenized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, doc_len, tokens in order."""
+    by = terms_of(docs, key).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("position", "term")))).alias("each"))
+    return by.select(key, F.size("each").cast("long").alias("doc_len"), F.transform("each", lambda e: e["term"]).alias("tokens"))
+
+
+def document_lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and the other columns but text, with doc_len: tokens are counted, not stemmed."""
+    return docs.withColumn("doc_len", F.size(words(F.col("text"))).cast("long")).drop("text")
+
+
+def build_index(docs: DataFrame, key: str = "doc_id") -> Index:
+    """An index of docs(key, text) with tenant and segment where docs has them ('' and 0 otherwise)."""
+    tenant = F.col("tenant") if "tenant" in docs.columns else F.lit("")
+    segment = F.col("segment") if "segment" in docs.columns else F.lit(0)
+    own = docs.select(F.col(key).alias("doc_id"), tenant.cast("string").alias("tenant"), segment.cast("long").alias("segment"), words(F.col("text")).alias("words"))
+    lengths = own.select("doc_id", "tenant", "segment", "words", F.size("words").cast("long").alias("doc_len"))
+    each = lengths.select("doc_id", "tenant", "segment", "doc_len", F.explode_outer("words").alias("word")).where(F.col("word").isNotNull())
+    tf = each.groupBy(stem(F.col("word")).alias("term"), "doc_id", "tenant", "segment", "doc_len").agg(F.count("*").alias("tf"))
+    return Index(tf, lengths.drop("words"))
+
+
+def write_index(index: Index, path: str, buckets: int = BUCKETS) -> Index:
+    """Write an index, postings in folders by term and sorted by term and document, and read it back.
+
+    A term of very many documents is cut between files by the document, so no task gets all of it.
+    """
+    placed = index.postings.withColumn("bucket", _bucket(buckets))
+    placed.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index.docs.write.parquet(f"{path}/docs")
+    return read_index(index.docs.sparkSession, path, buckets)
+
+
+def read_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), buckets)
 
 
-def documents_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, doc_len, tokens."""
-    cut = docs.select(key, tokens(F.col("text")).alias("tokens"))
-    return cut.select(key, F.size("tokens").cast("long").alias("doc_len"), "tokens")
+def append_segment(index: Index, docs: DataFrame, path: str, key: str = "doc_id") -> Index:
+    """Add a segment's documents to a written index at `path`."""
+    new = build_index(docs, key)
+    placed = new.postings.withColumn("bucket", _bucket(index.buckets or BUCKETS))
+    placed.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    new.docs.write.mode("append").parquet(f"{path}/docs")
+    return read_index(index.docs.sparkSession, path, index.buckets or BUCKETS)
 
 
 def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """term, key, tf: one row per term and document."""
-    each = documents_index(docs, key).select(key, F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
-    return each.groupBy("term", key).agg(F.count("*").alias("tf"))
+    return terms_of(docs, key).where(F.col("term").isNotNull()).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row: n_docs, total_len, avgdl."""
-    return index.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"))
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """One row: n_docs, total_len, avgdl of rows with doc_len."""
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def _is(term: str):
-    return lambda token: token == F.lit(term)
+def visible_documents(rows: DataFrame, tenant: str | None = None, forgotten: DataFrame | None = None) -> DataFrame:
+    """rows(tenant, segment) of a tenant, without the segments up to the watermark that forgotten(tenant, watermark) has for it."""
+    if tenant is not None:
+        rows = rows.where(F.col("tenant") == tenant)
+    if forgotten is not None:
+        marks = forgotten.groupBy("tenant").agg(F.max("watermark").alias("watermark"))
+        rows = rows.join(F.broadcast(marks), "tenant", "left").where(F.col("segment") > F.coalesce("watermark", F.lit(-1))).drop("watermark")
+    return rows
 
 
-def bm25_scores(docs: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
-    """key, doc_len, score, matched (terms found) of documents with a query term.
+def bm25_scores(index: Index, terms: list[str], tenant: str | None = None, forgotten: DataFrame | None = None, per_segment: bool = False) -> DataFrame:
+    """doc_id, segment, doc_len, score, matched (query terms found) of visible documents with a query term.
 
-    `terms` are stemmed query tokens; repeated ones count again. Term counts are taken in place
-    from each text, so the only exchange is that of one row of corpus statistics.
+    `terms` are stemmed query tokens; repeated ones count again. Counts of documents, of those with a
+    term, and the mean length are those of the whole index, also of what is not visible, or
+    (`per_segment`) of the document's own segment.
     """
-    own = documents_index(docs, key)
-    tf = F.array(*(F.size(F.filter("tokens", _is(w))) for w in terms))
-    counted = own.select(key, "doc_len", tf.alias("tf"))
-    found = [F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"), *found)
-    both = counted.crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        f = F.get("tf", F.lit(i))
-        score = score + F.when(f > 0, idf(F.col("n"), F.col(f"df{i}")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))).otherwise(0.0)
-    matched = F.size(F.filter("tf", lambda f: f > 0))
-    return both.select(key, "doc_len", score.alias("score"), matched.cast("long").alias("matched")).where("matched > 0")
-
-
-def bm25_search(docs: DataFrame, terms: list[str], k: int, floor: float = 0.1, key: str = "doc_id") -> DataFrame:
-    """The k best documents at or over the floor, ties by key."""
-    return bm25_scores(docs, terms, key).where(F.col("score") >= floor).orderBy(F.desc("score"), key).limit(k)
-
-
-def coverage(docs: DataFrame, terms: list[str], floor: float, key: str = "doc_id") -> DataFrame:
+    times = F.create_map(*(F.lit(x) for t in sorted(set(terms)) for x in (t, terms.count(t)))) if terms else F.create_map()
+    hits = index.of_terms(terms) if index.buckets else kept(index.of_terms(terms), "hits")
+    by = ["segment"] if per_segment else []
+    stats = index.docs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
+    found = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    weights = found.join(F.broadcast(stats), by) if by else found.crossJoin(F.broadcast(stats))
+    weighed = visible_documents(hits, tenant, forgotten).join(F.broadcast(weights), [*by, "term"])
+    tf = F.col("tf")
+    part = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+    count = F.element_at(times, F.col("term"))
+    return weighed.groupBy("doc_id", "segment", "doc_len").agg(F.sum(part * count).alias("score"), F.sum(count).cast("long").alias("matched"))
+
+
+def bm25_search(index: Index, terms: list[str], k: int, floor: float = 0.1, **visible) -> DataFrame:
+    """The k best documents at or over the floor, ties by segment and document."""
+    return bm25_scores(index, terms, **visible).where(F.col("score") >= floor).orderBy(F.desc("score"), "segment", "doc_id").limit(k)
+
+
+def coverage(index: Index, terms: list[str], floor: float, **visible) -> DataFrame:
     """One row: query tokens, those found in the corpus, their share, candidates and how many are below the floor."""
-    scores = bm25_scores(docs, terms, key)
+    scores = bm25_scores(index, terms, **visible)
     side = scores.agg(F.count("*").alias("candidates"), F.coalesce(F.count_if(F.col("score") < floor), F.lit(0)).alias("below_floor"))
-    wanted = sorted(set(terms))
-    own = documents_index(docs, key)
-    found = own.agg(*(F.coalesce(F.bool_or(F.array_contains("tokens", w)), F.lit(False)).alias(f"t{i}") for i, w in enumerate(wanted)))
-    hits = sum((F.when(F.col(f"t{wanted.index(t)}"), 1).otherwise(0) for t in terms), F.lit(0))
-    missing = F.array_join(F.filter(F.array(*(F.when(~F.col(f"t{i}"), F.lit(w)) for i, w in enumerate(wanted))), lambda x: x.isNotNull()), ",")
+    found = index.of_terms(terms).agg(F.coalesce(F.collect_set("term"), F.array().cast("array<string>")).alias("found"))  # query terms at most
+    asked = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    hits = F.size(F.filter(asked, lambda t: F.array_contains("found", t)))
+    missing = F.array_join(F.array_except(asked, "found"), ",")
     out = side.crossJoin(F.broadcast(found))
-    return out.select(F.lit(len(terms)).cast("long").alias("query_tokens"), hits.cast("long").alias("matched_tokens"), (hits / len(terms)).alias("coverage"), missing.alias("missing"), "candidates", "below_floor")
+    return out.select(F.lit(len(terms)).cast("long").alias("query_tokens"), hits.cast("long").alias("matched_tokens"), (hits / max(1, len(terms))).alias("coverage"), missing.alias("missing"), "candidates", "below_floor")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -87,30 +167,98 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.lit(None)).when(below < 1e-12, 0.0).otherwise(dot(a, b) / below)
 
 
+def cosine_to(vector: Column, query: list[float]) -> Column:
+    """`cosine` to a vector that is known: its norm is a number, its components are literals."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    length = float(sum(float(x) * float(x) for x in query)) ** 0.5
+    below = norm(vector) * length
+    return F.when(F.size(vector) != len(query), F.lit(None)).when(below < 1e-12, 0.0).otherwise(dot(vector, q) / below)
+
+
+def clamped(similarity: Column) -> Column:
+    return F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0))
+
+
 def unit_cosine(a: Column, b: Column) -> Column:
     """Clamped to 0..1; null for different lengths."""
-    return F.least(F.greatest(cosine(a, b), F.lit(0.0)), F.lit(1.0))
+    return clamped(cosine(a, b))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """key, cosine of the k vectors nearest to the one row of `query` (column q)."""
-    scored = vectors.crossJoin(F.broadcast(query)).select(key, cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id") -> DataFrame:
+    """key, cosine of the k vectors nearest to a query vector, ties by key."""
+    scored = vectors.select(key, cosine_to(F.col("embedding"), query).alias("cosine"))
     return scored.where("cosine is not null").orderBy(F.desc("cosine"), key).limit(k)
 
 
-def fused(hits: DataFrame, vectors: DataFrame, query: DataFrame, k: int, weight: float, key: str = "doc_id") -> DataFrame:
+def fused(hits: DataFrame, vectors: DataFrame, query: list[float], k: int, weight: float, key: str = "doc_id") -> DataFrame:
     """Lexical hits (key, score) and vectors blended: weight * score / best + (1 - weight) * cosine, no vector counts 0."""
     best = hits.agg(F.max("score").alias("best"))
-    dense = vectors.crossJoin(F.broadcast(query)).select(F.col("vec_id").alias(key), unit_cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    dense = vectors.select(F.col("vec_id").alias(key), clamped(cosine_to(F.col("embedding"), query)).alias("cosine"))
     both = hits.join(dense, key, "left").crossJoin(F.broadcast(best))
     share = F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0)
     out = both.select(key, "score", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), (weight * share + (1 - weight) * F.coalesce("cosine", F.lit(0.0))).alias("fused"))
     return out.orderBy(F.desc("fused"), key).limit(k)
 
 
+#: Weights of the lanes, and nodes below which the graph's weight goes to the lexical lane.
+LANES = {"bm25": 0.5, "graph": 0.3, "dense": 0.2}
+COLD_START = 100
+
+
+def fused_retrieval(index: Index, terms: list[str], vectors: DataFrame, query: list[float], graph: DataFrame, graph_nodes: int, k: int, **visible) -> DataFrame:
+    """doc_id, bm25 (share of the best), graph, dense, hop, score: the k best of the 4k best lexical hits, ties by document.
+
+    graph(doc_id, boost, hop) and vectors(doc_id, embedding) count 0 where they lack a document.
+    """
+    w = dict(LANES)
+    if graph_nodes < COLD_START:
+        w["bm25"], w["graph"] = w["bm25"] + w["graph"], 0.0
+    pool = bm25_scores(index, terms, **visible).where("score > 0").orderBy(F.desc("score"), "segment", "doc_id").limit(4 * k)
+    best = pool.agg(F.max("score").alias("best"))
+    dense = vectors.select("doc_id", clamped(cosine_to(F.col("embedding"), query)).alias("dense"))
+    both = pool.join(dense, "doc_id", "left").join(graph.select("doc_id", F.col("boost").alias("graph"), "hop"), "doc_id", "left").crossJoin(F.broadcast(best))
+    lanes = both.select("doc_id", (F.col("score") / F.col("best")).alias("bm25"), F.coalesce("graph", F.lit(0.0)).alias("graph"), F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("hop", F.lit(0)).alias("hop"))
+    score = sum((F.col(lane) * weight for lane, weight in w.items()), F.lit(0.0))
+    return lanes.withColumn("score", score).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def graph_boosted(hits: DataFrame, matches: DataFrame, edges: DataFrame, entity_weight: float = 0.3, relation_weight: float = 0.2, seeds: int = 10) -> DataFrame:
+    """hits(doc_id, score) raised by entity matches(doc_id, overlap, confidence) and by edges(src, dst, confidence) from the best hits.
+
+    A match gives entity_weight * overlap / largest overlap * confidence; of the edges from the first
+    `seeds` hits into a document the strongest counts. Adds boosted.
+    """
+    largest = matches.agg(F.greatest(F.max("overlap"), F.lit(1)).alias("largest"))
+    entity = matches.crossJoin(F.broadcast(largest)).groupBy("doc_id").agg(F.max(entity_weight * F.col("overlap") / F.col("largest") * F.col("confidence")).alias("entity_boost"))
+    best = hits.orderBy(F.desc("score"), "doc_id").limit(seeds).select(F.col("doc_id").alias("src"))
+    relation = edges.join(F.broadcast(best), "src", "left_semi").groupBy(F.col("dst").alias("doc_id")).agg(F.max(relation_weight * F.col("confidence")).alias("relation_boost"))
+    both = hits.join(entity, "doc_id", "left").join(relation, "doc_id", "left")
+    none = F.lit(0.0)
+    return both.withColumn("boosted", F.col("score") + F.coalesce("entity_boost", none) + F.coalesce("relation_boost", none)).drop("entity_boost", "relation_boost")
+
+
+def hydrated(hits: DataFrame, contents: DataFrame, tenant: str, key: str = "doc_id") -> DataFrame:
+    """hits with the columns of contents(key, tenant, ...): only rows of the tenant, checked again."""
+    return hits.join(contents.where(F.col("tenant") == tenant), key)
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     """key, rrf, best_rank over ranked lists (key, rank from 1)."""
     union = lists[0].select(key, "rank")
     for other in lists[1:]:
         union = union.unionByName(other.select(key, "rank"))
     return union.groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank"))
+
+
+def case_retrieval(cases: DataFrame, task: Column, k: int, only_success: bool = False) -> DataFrame:
+    """The k cases(case_id, terms, success, reward, created_at) nearest to the terms of a task: similarity, then reward, then the newest."""
+    from ..functions.text import jaccard
+
+    own = cases.where("success") if only_success else cases
+    near = own.withColumn("similarity", jaccard(F.col("terms"), task)).where("similarity > 0")
+    return near.orderBy(F.desc("similarity"), F.desc("reward"), F.desc("created_at"), "case_id").limit(k)
+
+
+def best_per(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each group."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)

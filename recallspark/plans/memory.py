@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decay
 from ..operators import budget, facts, log
-from ..sources.tables import FACTS, LOG, fact_rows, log_rows
+from ..sources.tables import FACTS, LOG, fact_rows, log_rows, table
 
 NOW = "2024-02-01 00:00:00"
 Q, SQL = {}, {}
@@ -61,8 +61,7 @@ def _(spark, d):
     return facts.latest(fact_rows(spark, d).where("not deleted")).select("tenant", "entity", "key", "version", "value")
 
 
-@query("b1_recall_budget", f"""WITH {FACTS}, pool AS (SELECT * FROM live ORDER BY confidence DESC, stored_at DESC, fact_id LIMIT 1000),
-r AS (SELECT *, row_number() OVER w AS rank, sum(tokens) OVER (ORDER BY confidence DESC, stored_at DESC, fact_id) AS used FROM pool WINDOW w AS (ORDER BY confidence DESC, stored_at DESC, fact_id))
+@query("b1_recall_budget", f"""WITH {FACTS}, r AS (SELECT *, row_number() OVER w AS rank, sum(tokens) OVER (ORDER BY confidence DESC, stored_at DESC, fact_id) AS used FROM live WINDOW w AS (ORDER BY confidence DESC, stored_at DESC, fact_id))
 SELECT fact_id, CAST(rank AS INTEGER) AS rank, used::BIGINT AS used FROM r WHERE rank = 1 OR (used <= 200 AND used - tokens < 200)""")
 def _(spark, d):
     return facts.recall(live(spark, d), 200).select("fact_id", "rank", "used")
@@ -106,9 +105,10 @@ def _(spark, d):
     return facts.aggregate_scan(live(spark, d), ["key"], 400).withColumn("sum_numeric", F.round("sum_numeric", 4))
 
 
-@query("a4_temporal_diff", f"""WITH {FACTS}, g AS (SELECT tenant, entity, key, arg_max(v, version) AS current, arg_max(v, CASE WHEN stored_at <= TIMESTAMP '2024-01-15' THEN version END) AS "then", arg_min(v, version) AS oldest
-FROM (SELECT *, CAST(value AS DOUBLE) AS v FROM facts WHERE NOT deleted) GROUP BY ALL)
-SELECT tenant, entity, key, current, "then", oldest, round(current - coalesce("then", oldest), 4) AS diff FROM g""")
+@query("a4_temporal_diff", f"""WITH {FACTS}, p AS (SELECT *, CAST(value AS DOUBLE) AS v, max(CASE WHEN private THEN version END) OVER (PARTITION BY tenant, entity, key) AS broken FROM facts WHERE NOT deleted),
+g AS (SELECT tenant, entity, key, count(*) AS links, arg_max(v, version) AS current, arg_max(v, version) FILTER (stored_at <= TIMESTAMP '2024-01-15') AS "then", arg_min(v, version) AS oldest
+  FROM p WHERE broken IS NULL OR version > broken GROUP BY ALL)
+SELECT tenant, entity, key, links, current, "then", oldest, round(current - "then", 4) AS diff FROM g""")
 def _(spark, d):
     return facts.temporal_diff(fact_rows(spark, d), F.lit("2024-01-15").cast("timestamp")).withColumn("diff", F.round("diff", 4))
 
@@ -121,18 +121,23 @@ def _(spark, d):
 _POL = "CASE WHEN CAST(fact_id AS BIGINT) % 4 = 0 THEN ' Yes. ' WHEN fact_id % 4 = 1 THEN 'rejected' WHEN fact_id % 4 = 2 THEN 'ON' ELSE 'maybe' END"
 
 
-@query("a7_contradictions", f"""WITH {FACTS}, p AS (SELECT entity, key, fact_id, CASE fact_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'positive' END AS class FROM facts WHERE NOT deleted AND version <= 3)
-SELECT entity, key, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, string_agg(CAST(fact_id AS VARCHAR), ',' ORDER BY fact_id) AS facts
-FROM p WHERE class IS NOT NULL GROUP BY entity, key HAVING count(DISTINCT class) >= 2""")
+@query("a7_contradictions", f"""WITH {FACTS}, p AS (SELECT tenant, entity, key, fact_id, CASE fact_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'positive' END AS class FROM facts WHERE NOT deleted AND NOT private AND (fact_id % 3 = 0 OR superseded_by IS NULL)),
+g AS (SELECT tenant, entity, key, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, count(*) AS n_facts FROM p WHERE class IS NOT NULL GROUP BY ALL HAVING count(DISTINCT class) >= 2)
+SELECT tenant, entity, key, classes, n_facts, fact_id FROM g JOIN p USING (tenant, entity, key) WHERE class IS NOT NULL""")
 def _(spark, d):
-    rows = fact_rows(spark, d).where("not deleted and version <= 3")
+    # every third fact was never resolved against its chain
+    rows = fact_rows(spark, d).withColumn("superseded_by", F.when(F.col("fact_id") % 3 != 0, F.col("superseded_by")))
     return facts.contradictions(rows.withColumn("value", F.expr(_POL)))
 
 
-@query("t4_confidence_ranking", f"WITH {FACTS} SELECT fact_id, round(0.6 * (tokens / 10) + 0.4 * confidence, 6) AS score FROM live ORDER BY 0.6 * (tokens / 10) + 0.4 * confidence DESC, stored_at DESC, fact_id LIMIT 50")
+@query("t4_dense_ranking", f"""WITH {FACTS}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3),
+v AS (SELECT vec_id AS fact_id, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS c FROM embeddings, q),
+s AS (SELECT fact_id, stored_at, coalesce(c, 0) AS cosine, 0.6 * coalesce(c, 0) + 0.4 * confidence AS score FROM live LEFT JOIN v USING (fact_id))
+SELECT fact_id, round(cosine, 6) AS cosine, round(score, 6) AS score FROM s ORDER BY s.score DESC, stored_at DESC, fact_id LIMIT 50""")
 def _(spark, d):
-    s = 0.6 * (F.col("tokens") / 10) + 0.4 * F.col("confidence")
-    return live(spark, d).withColumn("s", s).orderBy(F.desc("s"), F.desc("stored_at"), "fact_id").limit(50).select("fact_id", F.round("s", 6).alias("score"))
+    e = table(spark, d, "embeddings")
+    ranked = facts.dense_rank(live(spark, d), e.select(F.col("vec_id").alias("fact_id"), "embedding"), e.where("vec_id = 3").select(F.col("embedding").alias("q")))
+    return ranked.orderBy(F.desc("score"), F.desc("stored_at"), "fact_id").limit(50).select("fact_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
 
 
 _FRESH = f"""f AS (SELECT *, CASE WHEN horizon IS NULL THEN 'fresh' WHEN epoch_us(TIMESTAMP '{NOW}') < epoch_us(stored_at) THEN 'unknown'
@@ -151,12 +156,44 @@ def _(spark, d):
 
 @query("r15_decayed_recall", f"WITH {FACTS}, {_FRESH} SELECT fact_id, CASE WHEN freshness = 'stale' THEN confidence * 0.5 ELSE confidence END AS effective FROM f ORDER BY effective DESC, stored_at DESC, fact_id LIMIT 40")
 def _(spark, d):
-    return fresh(spark, d).withColumn("effective", decay.effective(F.col("confidence"), F.col("freshness"))).orderBy(F.desc("effective"), F.desc("stored_at"), "fact_id").limit(40).select("fact_id", "effective")
+    return effective(spark, d).orderBy(F.desc("effective"), F.desc("stored_at"), "fact_id").limit(40).select("fact_id", "effective")
 
 
-@query("r12_match_score", f"""WITH {FACTS}, m AS (SELECT fact_id, ((CASE WHEN contains(lower(entity), 'view') OR contains(lower(key), 'view') OR regexp_matches(value, '(^|[^A-Za-z0-9_])view($|[^A-Za-z0-9_])', 'i') THEN 1.0 WHEN contains(lower(value), 'view') THEN 0.5 ELSE 0 END)
-  + (CASE WHEN contains(lower(entity), '12') OR contains(lower(key), '12') OR regexp_matches(value, '(^|[^A-Za-z0-9_])12($|[^A-Za-z0-9_])', 'i') THEN 1.0 WHEN contains(lower(value), '12') THEN 0.5 ELSE 0 END)) / 2 AS score FROM live)
-SELECT fact_id, score FROM m WHERE score >= 0.45""")
+def effective(spark, d):
+    return fresh(spark, d).withColumn("effective", decay.effective(F.col("confidence"), F.col("freshness")))
+
+
+_MATCH = """((CASE WHEN contains(lower(entity), 'view') OR contains(lower(key), 'view') OR regexp_matches(value, '(^|[^A-Za-z0-9_])view($|[^A-Za-z0-9_])', 'i') THEN 1.0 WHEN contains(lower(value), 'view') THEN 0.5 ELSE 0 END)
+  + (CASE WHEN contains(lower(entity), '12') OR contains(lower(key), '12') OR regexp_matches(value, '(^|[^A-Za-z0-9_])12($|[^A-Za-z0-9_])', 'i') THEN 1.0 WHEN contains(lower(value), '12') THEN 0.5 ELSE 0 END)) / 2"""
+
+
+@query("t5_matched_ranking", f"""WITH {FACTS}, {_FRESH}, m AS (SELECT fact_id, stored_at, CASE WHEN freshness = 'stale' THEN confidence * 0.5 ELSE confidence END AS effective, {_MATCH} AS match FROM f)
+SELECT fact_id, match, effective FROM m WHERE match >= 0.45 ORDER BY m.match DESC, m.effective DESC, stored_at DESC, fact_id LIMIT 60""")
+def _(spark, d):
+    found = facts.matched(effective(spark, d), ["view", "12"], 0.45)
+    return found.orderBy(F.desc("match"), F.desc("effective"), F.desc("stored_at"), "fact_id").limit(60).select("fact_id", "match", "effective")
+
+
+@query("r19_context_bundle", f"""WITH RECURSIVE {FACTS}, {_FRESH.replace("FROM live)", "FROM facts)")},
+l AS (SELECT * FROM f WHERE superseded_by IS NULL AND NOT deleted AND (NOT private OR actor = '7') QUALIFY row_number() OVER (PARTITION BY entity, key ORDER BY version DESC, fact_id) = 1),
+o AS (SELECT 0 AS place, 'facts' AS section, entity <> 'user:7' AS other, -(CASE WHEN freshness = 'stale' THEN confidence * 0.5 ELSE confidence END) AS weak, entity, key, CAST(fact_id AS VARCHAR) AS item, greatest((strlen(entity) + strlen(key) + strlen(value)) // 4, 1) + 8 AS cost FROM l
+  UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 1 ELSE 5 END, CASE WHEN item_id % 2 = 0 THEN 'decisions' ELSE 'notes' END, false, 0.0, '', '', CAST(item_id AS VARCHAR), greatest(strlen(left(text, 30)) // 4, 1) + 8 FROM benchmark),
+n AS (SELECT *, row_number() OVER (ORDER BY place, other, weak, entity, key, item) AS rank FROM o),
+b AS (SELECT rank, section, item, cost, CASE WHEN cost <= 400 THEN cost ELSE 0 END AS used, cost <= 400 AS kept FROM n WHERE rank = 1
+  UNION ALL SELECT n.rank, n.section, n.item, n.cost, CASE WHEN b.used + n.cost <= 400 THEN b.used + n.cost ELSE b.used END, b.used + n.cost <= 400 FROM b JOIN n ON n.rank = b.rank + 1)
+SELECT section, item, CAST(cost AS BIGINT) AS cost, CAST(used AS BIGINT) AS used FROM b WHERE kept""")
+def _(spark, d):
+    return _bundle(spark, d)[0]
+
+
+def _bundle(spark, d):
+    state = decay.freshness(F.col("horizon"), F.col("stored_at"), F.lit(NOW).cast("timestamp"), F.col("accesses"))
+    rows = fact_rows(spark, d).withColumn("freshness", state).withColumn("effective", decay.effective(F.col("confidence"), F.col("freshness")))
+    aux = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "decisions").otherwise("notes").alias("section"), F.col("item_id").alias("id"), F.substring("text", 1, 30).alias("text"))
+    return facts.context_bundle(rows.withColumn("addressed", F.col("entity") == "user:7"), aux, "7", 400)
+
+
+@query("r12_match_score", f"WITH {FACTS}, m AS (SELECT fact_id, {_MATCH} AS score FROM live) SELECT fact_id, score FROM m WHERE score >= 0.45")
 def _(spark, d):
     return live(spark, d).select("fact_id", facts.match_score(["view", "12"]).alias("score")).where("score >= 0.45")
 
@@ -183,13 +220,26 @@ def _(spark, d):
     return facts.newest_page(fact_rows(spark, d), ("2024-01-12 00:00:00", 5), 25).select("fact_id", "stored_at")
 
 
-@query("x1_forget_plan", f"""WITH {FACTS}, pins AS (SELECT entity FROM facts WHERE key = 'signup' GROUP BY entity HAVING arg_max(fact_id, (stored_at, fact_id)) % 3 = 0),
-pool AS (SELECT * FROM live WHERE starts_with(entity, 'user:1') AND entity NOT IN (SELECT entity FROM pins) ORDER BY stored_at, fact_id LIMIT 1000),
-r AS (SELECT fact_id, tokens, row_number() OVER (ORDER BY stored_at, fact_id) AS rank, sum(tokens) OVER (ORDER BY stored_at, fact_id) AS used FROM pool)
+_PINS = "pins AS (SELECT entity FROM facts WHERE key = 'signup' GROUP BY entity HAVING arg_max(fact_id, (stored_at, fact_id)) % 3 = 0)"
+
+
+def pins(spark, d):
+    return facts.pinned(fact_rows(spark, d).where("key = 'signup'").withColumn("value", F.when(F.col("fact_id") % 3 == 0, "TRUE").otherwise("0")))
+
+
+@query("x1_forget_plan", f"""WITH {FACTS}, {_PINS},
+r AS (SELECT fact_id, tokens, row_number() OVER (ORDER BY stored_at, fact_id) AS rank, sum(tokens) OVER (ORDER BY stored_at, fact_id) AS used FROM facts WHERE NOT deleted AND NOT private AND starts_with(entity, 'user:1') AND entity NOT IN (SELECT entity FROM pins))
 SELECT fact_id, CAST(rank AS INTEGER) AS rank, used::BIGINT AS used FROM r WHERE rank = 1 OR (used <= 100 AND used - tokens < 100)""")
 def _(spark, d):
-    pins = facts.pinned(fact_rows(spark, d).where("key = 'signup'").withColumn("value", F.when(F.col("fact_id") % 3 == 0, "TRUE").otherwise("0")))
-    return facts.forget_plan(live(spark, d), pins, F.startswith("entity", F.lit("user:1")), 100).select("fact_id", "rank", "used")
+    rows = fact_rows(spark, d).where(facts.visible(superseded=True))
+    return facts.forget_plan(rows, pins(spark, d), facts.forget_scope(entity_prefix="user:1"), 100).select("fact_id", "rank", "used")
+
+
+@query("x1_forget_scopes", f"""WITH {FACTS}, {_PINS} SELECT fact_id FROM facts WHERE NOT deleted AND NOT private AND tenant = 't1' AND regexp_full_match(key, 'p.*') AND actor = entity[6:] AND stored_at < TIMESTAMP '2024-01-20' AND actor = '1'""")
+def _(spark, d):
+    rows = fact_rows(spark, d).where(facts.visible(superseded=True))
+    scope = facts.forget_scope(key_glob="p*", passport="1", before=F.lit("2024-01-20").cast("timestamp"), tenant="t1")
+    return facts.forget_plan(rows, pins(spark, d), scope, None, with_pinned=True).select("fact_id")
 
 
 @query("x5_usage_rollup", f"""WITH {FACTS} SELECT key AS tool, count(*) AS calls, sum(tokens)::BIGINT AS tokens, count(*) FILTER (deleted) AS errors, round(count(*) FILTER (deleted) / count(*), 4) AS error_rate,
@@ -255,12 +305,50 @@ def _(spark, d):
     return log.range_digests(rows, ["lane"], "event_id", "event_id")
 
 
-@query("x10_chain_validation", f"""WITH {LOG}, h AS (SELECT stream_id, seq, sha256(CAST(event_id AS VARCHAR)) AS hash FROM log WHERE event_id % 101 <> 0),
-b AS (SELECT stream_id, seq, seq <> coalesce(lag(seq) OVER w + 1, 1) AS bad FROM h WINDOW w AS (PARTITION BY stream_id ORDER BY seq))
+@query("x10_chain_validation", f"""WITH {LOG}, h AS (SELECT stream_id, seq, event_id, sha256(CAST(event_id AS VARCHAR)) AS hash, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE lag(sha256(CAST(event_id AS VARCHAR))) OVER (PARTITION BY stream_id ORDER BY seq) END AS prev_hash FROM log),
+b AS (SELECT stream_id, seq, seq <> coalesce(lag(seq) OVER w + 1, 1) OR prev_hash IS DISTINCT FROM lag(hash) OVER w AS bad FROM h WHERE event_id % 101 <> 0 WINDOW w AS (PARTITION BY stream_id ORDER BY seq))
 SELECT stream_id, count(*) AS rows, min(CASE WHEN bad THEN seq END) AS first_break FROM b GROUP BY stream_id""")
 def _(spark, d):
-    from pyspark.sql import Window
+    # hashes were linked when the log was whole; some links are wrong, some rows are gone
+    rows = log_rows(spark, d).withColumn("hash", F.sha2(F.col("event_id").cast("string"), 256))
+    before = rows.select("stream_id", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash"))
+    linked = rows.join(before, ["stream_id", "seq"], "left").withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "x").otherwise(F.col("prev_hash")))
+    return log.chain_breaks(linked.where("event_id % 101 <> 0"), ["stream_id"])
+
+
+@query("s4_sealed_replay", f"WITH {LOG}, h AS (SELECT stream_id, max(seq) - 2 AS head_seq FROM log WHERE stream_id % 2 = 0 GROUP BY 1) SELECT stream_id, seq, event_id FROM log LEFT JOIN h USING (stream_id) WHERE head_seq IS NULL OR seq < head_seq")
+def _(spark, d):
+    rows = log_rows(spark, d)
+    head = rows.where("stream_id % 2 = 0").groupBy("stream_id").agg((F.max("seq") - 2).alias("head_seq"))
+    return log.sealed(rows, head, ["stream_id"]).select("stream_id", "seq", "event_id")
+
+
+@query("s6_read_many", f"WITH {LOG} SELECT stream_id, seq, event_id FROM log WHERE (stream_id = 1 AND seq >= 3 AND seq < 13) OR (stream_id = 6 AND seq >= 5)")
+def _(spark, d):
+    wanted = spark.sql("SELECT 1L AS stream_id, 3 AS from_seq, 10 AS max_events UNION ALL SELECT 6L, 5, 0")
+    return log.read_many(log_rows(spark, d), wanted, ["stream_id"]).select("stream_id", "seq", "event_id")
 
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    rows = log_rows(spark, d).where("event_id % 101 <> 0").withColumn("hash", F.sha2(F.col("event_id").cast("string"), 256))
-    return log.chain_breaks(rows.withColumn("prev_hash", F.lag("hash").over(w)), ["stream_id"])
+
+@query("s9_admission", f"""WITH {LOG}, b AS (SELECT stream_id, count(*) AS rows, sum(value)::BIGINT AS bytes FROM (SELECT stream_id, CAST(round(value) AS BIGINT) AS value FROM log WHERE seq > 20) GROUP BY 1), l AS (SELECT stream_id, max(seq) AS last FROM log WHERE seq <= 20 GROUP BY 1)
+SELECT stream_id, rows, bytes, CASE WHEN stream_id = 3 THEN 'tombstoned' WHEN rows > 60 THEN 'too_many_events' WHEN bytes > 3000 THEN 'too_many_bytes' WHEN stream_id % 4 > 0 AND 20 + stream_id % 4 <> coalesce(last, 0) + 1 THEN 'seq_conflict' END AS refused FROM b LEFT JOIN l USING (stream_id)""")
+def _(spark, d):
+    rows = log_rows(spark, d)
+    last = rows.where("seq <= 20").groupBy("stream_id").agg(F.max("seq").alias("last"))
+    expected = rows.select("stream_id").distinct().withColumn("expected_next_seq", F.expr("if(stream_id % 4 > 0, 20 + stream_id % 4, 0)"))
+    batch = rows.where("seq > 20").withColumn("size", F.round("value").cast("long"))
+    return log.admission(batch, ["stream_id"], "size", expected, last, spark.sql("SELECT 3L AS stream_id"), 60, 3000)
+
+
+@query("b5_tiered_budget", f"""WITH {FACTS}, r AS (SELECT fact_id, tokens, row_number() OVER w AS rank, sum(tokens) OVER w AS used FROM live WINDOW w AS (ORDER BY confidence DESC, stored_at DESC, fact_id)),
+k AS (SELECT * FROM r WHERE rank = 1 OR (used <= 290 AND used - tokens < 290)), m AS (SELECT max(used) AS spent, max(rank) AS last FROM k)
+SELECT fact_id, CAST(rank AS INTEGER) AS rank, used::BIGINT AS used, 'full' AS tier FROM k
+UNION ALL SELECT fact_id, CAST(rank AS INTEGER), (spent + (rank - last) * 4)::BIGINT, 'pointer' FROM r, m WHERE rank > last AND rank <= last + greatest(0, 290 - spent) // 4""")
+def _(spark, d):
+    order = [F.desc("confidence"), F.desc("stored_at"), "fact_id"]
+    return budget.tiered(live(spark, d), order, "tokens", 290, 4).select("fact_id", "rank", "used", "tier")
+
+
+@query("b6_item_stop", """WITH r AS (SELECT item_id, (strlen(text) + 2) // 3 + 18 AS cost, row_number() OVER (ORDER BY item_id) AS rank, sum((strlen(text) + 2) // 3 + 18) OVER (ORDER BY item_id) + 130 AS used FROM benchmark)
+SELECT item_id, CAST(cost AS BIGINT) AS cost, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM r WHERE rank = 1 OR used <= 2000""")
+def _(spark, d):
+    return budget.item_stop(table(spark, d, "benchmark"), ["item_id"], "text", 2000).select("item_id", "cost", "rank", "used")

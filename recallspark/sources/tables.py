@@ -32,7 +32,8 @@ def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same facts in DuckDB.
 FACTS = """facts AS (
-  SELECT *, CAST(row_number() OVER w AS INTEGER) AS version, lag(fact_id) OVER w AS supersedes, lead(fact_id) OVER w AS superseded_by FROM (
+  SELECT *, CAST(count(CASE WHEN NOT deleted THEN 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS INTEGER) AS version,
+    lag(CASE WHEN NOT deleted THEN fact_id END IGNORE NULLS) OVER w AS supersedes, lead(CASE WHEN NOT deleted THEN fact_id END IGNORE NULLS) OVER w AS superseded_by FROM (
     SELECT event_id AS fact_id, 't' || (user_id % 3) AS tenant, 'user:' || user_id AS entity, event_type AS key,
       CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) AS value, k / 100 AS confidence, ts AS stored_at,
       CAST(ceil(strlen('user:' || user_id || event_type || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)) / 4) AS BIGINT) AS tokens,
