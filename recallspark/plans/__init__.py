@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import memory, relations, search
+from . import cost, memory, relations, search, work
 
-MODULES = (search, memory, relations)
+MODULES = (search, memory, relations, work, cost)
 
 
 def queries() -> dict:
