@@ -7,6 +7,8 @@ small next to the journal, is folded in line order on its own, and groups are de
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,11 +115,21 @@ def _consolidation(facts: dict, kind: str, fact: dict | None, ids: list[str], op
     return True
 
 
-def _folded(rows: pd.DataFrame) -> pd.DataFrame:
-    facts: dict[str, dict] = {}
-    for op in rows.sort_values("line").to_dict("records"):
-        apply_op(facts, {k: (None if v is pd.NaT else v) for k, v in op.items()})
-    return pd.DataFrame(list(facts.values()), columns=[c.split()[0] for c in STATE.split(", ")])
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by group and line: a group's facts leave when the next group begins."""
+    columns = [c.split()[0] for c in STATE.split(", ")]
+    grp, facts = None, {}
+    for rows in batches:
+        done: list[dict] = []
+        for op in rows.to_dict("records"):
+            if op["grp"] != grp:
+                done += facts.values()
+                grp, facts = op["grp"], {}
+            op = {k: (None if v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v else v) for k, v in op.items()}
+            fact = {k[2:]: v for k, v in op.items() if k.startswith("f_")}
+            apply_op(facts, op | {"fact": fact if fact["fact_id"] is not None else None})
+        yield pd.DataFrame(done, columns=columns)
+    yield pd.DataFrame(list(facts.values()), columns=columns)
 
 
 def replay(ops: DataFrame) -> DataFrame:
@@ -126,8 +138,9 @@ def replay(ops: DataFrame) -> DataFrame:
     In the end links into another chain or tenant are cleared: supersedes to another tenant, entity
     or key, superseded_by to another tenant. Ids that no fact has stay.
     """
-    grouped = ops.join(groups(ops), "line")
-    facts = kept(grouped.groupBy("grp").applyInPandas(lambda rows: _folded(rows), STATE), "journal-facts")
+    flat = ops.select("line", "op", "fact_id", "by_fact_id", "ids", "valid_from", "valid_to", *(F.col(f"fact.{c.split()[0]}").alias(f"f_{c.split()[0]}") for c in FACT.split(", ")))
+    grouped = flat.join(groups(ops), "line").repartition("grp").sortWithinPartitions("grp", "line")
+    facts = kept(grouped.mapInPandas(_fold, STATE), "journal-facts")
     ends = facts.select(F.col("fact_id").alias("end"), *(F.col(c).alias(f"end_{c}") for c in ("tenant", "entity", "key")))
     back = facts.join(ends, facts["supersedes"] == ends["end"], "left").withColumn("supersedes", F.when(F.col("end").isNotNull() & ~((F.col("tenant") == F.col("end_tenant")) & (F.col("entity") == F.col("end_entity")) & (F.col("key") == F.col("end_key"))), None).otherwise(F.col("supersedes"))).select(*facts.columns)
     on = back.join(ends, back["superseded_by"] == ends["end"], "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cost, memory, relations, search, work
+from . import cost, journal, memory, relations, search, work
 
-MODULES = (search, memory, relations, work, cost)
+MODULES = (search, memory, relations, work, cost, journal)
 
 
 def queries() -> dict:
