@@ -102,3 +102,96 @@ def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays as sets, 0 when both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+#: Words that carry no content in a recall query.
+STOP_WORDS = (
+    "the", "and", "for", "are", "was", "were", "with", "from", "this", "that", "into", "over", "under", "about",
+    "after", "before", "more", "most", "some", "such", "only", "own", "same", "too", "very", "just", "now", "which",
+    "who", "whom", "these", "those", "there", "here", "where", "while", "during", "each", "few", "other", "again",
+    "further", "once", "how", "what", "when", "why", "you", "its", "our", "their", "new", "use", "using", "can",
+    "does", "not", "all", "any", "has", "have", "had", "been", "but", "then", "than",
+)
+
+
+def content_terms(query: Column) -> Column:
+    """Distinct runs of ASCII letters, digits and _ of three or more, without STOP_WORDS, in order of first use."""
+    found = F.split(ascii_lower(query), r"[^a-z0-9_]+")
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
+
+
+def address(query: Column) -> Column:
+    """A query that addresses a fact (one word with a colon), in lower case with single colons; null for others."""
+    bare = F.trim(query)
+    return F.when(F.contains(bare, F.lit(":")) & ~bare.rlike(r"\s"), F.replace(ascii_lower(bare), F.lit("::"), F.lit(":")))
+
+
+#: Characters of a chunk, the least of one that ends at a boundary, and those that the next one repeats.
+CHUNK, CHUNK_LEAST, CHUNK_OVERLAP = 1800, 1200, 180
+
+
+def chunks(text: Column) -> Column:
+    """Overlapping chunks of a text: each ends after the last blank line in reach, else after the last white space, else at CHUNK.
+
+    One expression: a fold over as many steps as the text can have chunks.
+    """
+    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    steps = F.sequence(F.lit(0), F.floor(F.length(body) / (CHUNK_LEAST - CHUNK_OVERLAP)).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("made"))
+
+    def step(acc: Column, _: Column) -> Column:
+        window = F.substring(body, acc["at"] + 1, F.lit(CHUNK))
+        paragraph = F.length(F.regexp_extract(window, rf"^[\s\S]{{{CHUNK_LEAST - 2},{CHUNK - 2}}}\n\n", 0))
+        space = F.length(F.regexp_extract(window, rf"^[\s\S]{{{CHUNK_LEAST - 1},{CHUNK - 1}}}\s", 0))
+        rest = F.length(body) - acc["at"]
+        # a paragraph that ends just at CHUNK is no earlier boundary, so white space is looked for
+        size = F.when(rest <= CHUNK, rest).when((paragraph > 0) & (paragraph < CHUNK), paragraph).when(space > 0, space).otherwise(F.lit(CHUNK))
+        piece = F.regexp_replace(F.substring(body, acc["at"] + 1, size), r"^\s+|\s+$", "")
+        made = F.when(piece != "", F.concat(acc["made"], F.array(piece))).otherwise(acc["made"])
+        after = F.when(rest <= CHUNK, F.length(body)).otherwise(acc["at"] + size - CHUNK_OVERLAP)
+        return F.when(rest > 0, F.struct(after.alias("at"), made.alias("made"))).otherwise(acc)
+
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.aggregate(steps, start, step)["made"])
+
+
+def markdown_sections(text: Column) -> Column:
+    """A Markdown text cut before its ATX headings; sections of white space only are left out."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^(?=[ \t]*#{1,6}[ \t])", "\u001e")
+    return F.filter(F.split(marked, "\u001e"), lambda s: F.trim(F.regexp_replace(s, r"\s+", "")) != "")
+
+
+def summary(text: Column, chars: int) -> Column:
+    """The first sentence, those of a decision, and the last one, in order, as far as they fit `chars`."""
+    sentences = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), r"(?<=[.!?]) "), lambda s: s != "")
+    n = F.size(sentences)
+    kept = F.filter(sentences, lambda s, i: (i == 0) | (i == n - 1) | s.rlike(r"(?i)\b(decided|decision|agreed|chose|because|must)\b"))
+    start = F.lit("")
+    joined = lambda acc, s: F.when(acc == "", s).otherwise(F.concat_ws(" ", acc, s))
+    return F.aggregate(kept, start, lambda acc, s: F.when(F.length(joined(acc, s)) <= chars, joined(acc, s)).otherwise(acc))
+
+
+#: Kinds of facts that a text states, and the pattern of each one's object.
+FACT_PATTERNS = {
+    "money": r"[$£€]\s?\d[\d,]*(?:\.\d+)?(?:\s?(?:million|billion|k|m|bn))?",
+    "date": r"\b\d{4}-\d{2}-\d{2}\b",
+    "month_date": r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:,\s*\d{4})?\b",
+    "count": r"\b\d[\d,]*\s+(?:users|people|items|files|tests|days|hours|minutes)\b",
+    "version": r"\bv?\d+\.\d+\.\d+\b",
+}
+
+
+def stated_facts(text: Column) -> Column:
+    """Distinct (kind, object) that FACT_PATTERNS find in a text, objects told apart without letter case."""
+
+    def found(kind: str, pattern: str) -> Column:
+        objects = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+        return F.transform(objects, lambda o: F.struct(F.lit(kind).alias("kind"), F.lower(o).alias("object")))
+
+    return F.array_distinct(F.concat(*(found(k, p) for k, p in FACT_PATTERNS.items())))
+
+
+def log_redacted(text: Column) -> Column:
+    """`redacted`, and addresses of mail and numbers of four dotted parts and of cards, for logs."""
+    out = F.regexp_replace(redacted(text), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
+    out = F.regexp_replace(out, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]")
+    return F.regexp_replace(out, r"\b(?:\d[ -]?){13,16}\b", "[NUMBER]")
