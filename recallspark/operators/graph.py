@@ -107,14 +107,17 @@ def changed_between(edges: DataFrame, states: DataFrame, start: Column, end: Col
     return out.orderBy(F.desc("last_update"), "artifact").limit(min(max(limit, 1), 500))
 
 
-def changed_edges(edges: DataFrame, artifacts: DataFrame, start: Column, end: Column) -> DataFrame:
-    """artifact, src, dst, kind: the edges changed in [start, end) of each of artifacts(artifact), at either end, and its other end's state.
+def changed_edges(edges: DataFrame, artifacts: DataFrame, states: DataFrame, start: Column, end: Column) -> DataFrame:
+    """artifact, src, dst, kind, src_state, dst_state: the edges changed in [start, end) of each of artifacts(artifact), at either end.
 
-    artifacts must have `state`, too, of all artifacts that may be the other end (null where unknown).
+    states(artifact, state) gives the ends' states, null where unknown.
     """
     hit = edges.where(_moved(start, end)).select("src", "dst", "kind")
     sides = hit.select(F.col("src").alias("artifact"), "src", "dst", "kind").union(hit.select("dst", "src", "dst", "kind"))
-    return sides.distinct().join(artifacts.select("artifact"), "artifact", "left_semi")
+    own = sides.distinct().join(artifacts.select("artifact"), "artifact", "left_semi")
+    for side in ("src", "dst"):
+        own = own.join(states.select(F.col("artifact").alias(side), F.col("state").alias(f"{side}_state")), side, "left")
+    return own.select("artifact", "src", "dst", "kind", "src_state", "dst_state")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

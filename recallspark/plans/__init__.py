@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cost, journal, memory, relations, search, work
+from . import cost, journal, lens, memory, relations, search, work
 
-MODULES = (search, memory, relations, work, cost, journal)
+MODULES = (search, memory, relations, work, cost, journal, lens)
 
 
 def queries() -> dict:

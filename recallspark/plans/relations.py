@@ -66,18 +66,18 @@ def _changed(spark, d):
     states = orders.groupBy(F.col("o_custkey").alias("artifact")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("state"), F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at"))
     window = [F.lit(x).cast("timestamp_ntz") for x in ("1996-03-01", "1996-06-01")]
     edges = relation_rows(spark, d)
-    return edges, window, graph.changed_between(edges, states, *window, 100)
+    return edges, states, window, graph.changed_between(edges, states, *window, 100)
 
 
 @query("r10_time_range", f"WITH {RELATIONS}, {_CHANGED} SELECT * FROM changed")
 def _(spark, d):
-    return _changed(spark, d)[2]
+    return _changed(spark, d)[3]
 
 
-@query("r10_changed_edges", f"WITH {RELATIONS}, {_CHANGED} SELECT DISTINCT c.artifact, src, dst, kind FROM changed c JOIN hit ON c.artifact = src OR c.artifact = dst")
+@query("r10_changed_edges", f"WITH {RELATIONS}, {_CHANGED} SELECT DISTINCT c.artifact, src, dst, kind, a.state AS src_state, b.state AS dst_state FROM changed c JOIN hit ON c.artifact = src OR c.artifact = dst LEFT JOIN states a ON a.artifact = src LEFT JOIN states b ON b.artifact = dst")
 def _(spark, d):
-    edges, window, artifacts = _changed(spark, d)
-    return graph.changed_edges(edges, artifacts, *window)
+    edges, states, window, artifacts = _changed(spark, d)
+    return graph.changed_edges(edges, artifacts, states, *window)
 
 
 @query("a8_living_fields", f"""WITH {RELATIONS}, e AS (SELECT src AS artifact, 1 AS o, 0 AS i FROM relations UNION ALL SELECT dst, 0, 1 FROM relations),
