@@ -67,7 +67,7 @@ def _(spark, d):
     return work.board(sessions, own, table(spark, d, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey") % 20).alias("holder")))
 
 
-@query("x6_fleet_rollup", """WITH c AS (SELECT 't' || unnest(range(0, 60)) AS tool), k AS (SELECT 't' || (event_id % 70) AS tool, user_id AS passport, CAST(value AS BIGINT) AS tokens, event_type = 'error' AS error, CASE WHEN event_id % 9 > 0 THEN event_id % 37 END AS latency FROM events WHERE event_id % 70 < 50 OR event_id % 70 > 62),
+@query("x6_fleet_rollup", """WITH c AS (SELECT 't' || unnest(range(0, 60)) AS tool), k AS (SELECT 't' || (event_id % 70) AS tool, user_id AS passport, CAST(round(value) AS BIGINT) AS tokens, event_type = 'error' AS error, CASE WHEN event_id % 9 > 0 THEN event_id % 37 END AS latency FROM events WHERE event_id % 70 < 50 OR event_id % 70 > 62),
 o AS (SELECT 't' || (user_id % 65) AS tool, user_id AS passport FROM events), b AS (SELECT tool, count(*) AS calls, count(*) FILTER (error) AS errors, sum(tokens)::BIGINT AS tokens, count(DISTINCT passport) AS passports, list_sort(list(latency) FILTER (latency IS NOT NULL)) AS each FROM k GROUP BY 1), r AS (SELECT tool, count(DISTINCT passport) AS n FROM o GROUP BY 1),
 j AS (SELECT coalesce(c.tool, b.tool) AS tool, c.tool IS NOT NULL AS in_catalog, b.* EXCLUDE (tool) FROM c FULL JOIN b ON c.tool = b.tool)
 SELECT tool, in_catalog, coalesce(calls, 0) AS calls, coalesce(errors, 0) AS errors, coalesce(round(errors / calls, 4), 0) AS error_rate, coalesce(passports, 0) AS passports, coalesce(tokens // calls, 0) AS avg_tokens, each[len(each) // 2 + 1] AS p50, coalesce(n, 0) AS offered_passports,
