@@ -65,7 +65,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Dat
     again = docs.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     again = again.select("doc_id", F.array_distinct(shingles(F.col("w"))).alias("in_doc"))
     wanted = item_table.select("item_id", "n", "need", F.transform("pairs", lambda p: p["shingle"]).alias("in_item"))
-    pairs = again.join(maybe_broadcast(candidates, found), "doc_id").join(maybe_broadcast(wanted, wanted.count()), "item_id")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.octet_length(F.array_join("in_item", " "))), F.lit(0.0)).alias("each")).first()
+    # a shingle of the item costs some 24 bytes besides its text
+    pairs = again.join(maybe_broadcast(candidates, found), "doc_id").join(maybe_broadcast(wanted, size["n"], 2 * size["each"] + 64), "item_id")
     both = F.size(F.array_intersect("in_item", "in_doc"))
     exact = pairs.select("doc_id", "item_id", "n", "need", both.alias("both")).where(F.col("both") >= F.col("need"))
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("both") / F.col("n")).alias("containment"), "n", "both")).alias("best"))

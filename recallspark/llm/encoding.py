@@ -2,19 +2,21 @@
 
 A byte-level or word-level BPE never merges across the places where a run of white space
 follows a visible character, so a text may be cut there, each distinct piece encoded once by
-the library and the ids put together again: the same ids as from encoding whole texts.
+the library and the ids put together again: the same ids as from encoding whole texts. The
+library is used as it comes: the strings of its added tokens in a text are these tokens.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import offsets_of, ragged
+from .common import offsets_of, only, ragged
 
 #: Code points with the White_Space property, as a character class.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -27,12 +29,11 @@ SPACES = ODD_SPACE[:-1] + "+"
 class Encoder:
     """ids of whole texts; `spaced`: white space before a word counts (byte-level vocabularies)."""
 
-    def __init__(self, path: str, spaced: bool, most_pieces: int = 600_000):
+    def __init__(self, path: str, spaced: bool, most_pieces: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced, self.most_pieces = spaced, most_pieces
         size = self.tokenizer.get_vocab_size()
         # each character of a byte-level token stands for one byte
@@ -43,19 +44,34 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.flat, self.lengths = [], []
         self.all = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.used = np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Keep the pieces used most, a third of the store at most."""
+        flat, lengths = self._store()
+        used = np.append(self.used, np.zeros(len(lengths) - len(self.used), np.int64))
+        keep = np.sort(np.argsort(-used, kind="stable")[: self.most_pieces // 3])
+        keep = keep[used[keep] > 1]
+        pieces = list(self.index)
+        self.all = (ragged(flat, offsets_of(lengths)[keep], lengths[keep]), lengths[keep])
+        self.index = {pieces[i]: n for n, i in enumerate(keep.tolist())}
+        self.used = np.zeros(len(keep), np.int64)
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece in the store, after encoding those not met yet."""
-        get = self.index.get
-        new = [p for p in dict.fromkeys(pieces) if get(p) is None]
-        if new:
+        codes = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        where = np.flatnonzero(codes < 0)
+        if len(where):
+            missed = [pieces[i] for i in where.tolist()]
+            new = list(dict.fromkeys(missed))
             # one that doesn't begin with its space, or ends in white space, can't stand in a row of pieces
             alone = [p for p in new if p[:1] != " " or p[-1].isspace()] if self.spaced else []
             rows = [p for p in new if p[:1] == " " and not p[-1].isspace()] if self.spaced else new
             for i in range(0, len(rows), 2000):
                 self._add_row(rows[i : i + 2000])
             self._add_each(alone)
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            codes[where] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
+        return codes
 
     def _add(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.index)
@@ -88,7 +104,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, offsets of the texts in them) for a string array without nulls."""
         if len(self.index) > self.most_pieces:
-            self._reset()
+            self._trim()
         n = len(texts)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -117,6 +133,7 @@ class Encoder:
         if len(odd):
             codes, offsets = self._with_odd(texts, odd, codes, offsets)
         flat, lengths = self._store()
+        self.used = np.append(self.used, np.zeros(len(lengths) - len(self.used), np.int64)) + np.bincount(codes, minlength=len(lengths))
         starts = offsets_of(lengths)
         took = lengths[codes]
         ids = ragged(flat, starts[codes], took)
@@ -132,14 +149,9 @@ class Encoder:
         return ragged(np.concatenate([codes, extra]), starts, lengths), offsets_of(lengths)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> Encoder:
     """One per Python worker; its store of pieces is bounded."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    return only(("encoder", path, spaced), lambda: Encoder(path, spaced))
 
 
 def vocabulary(name: str) -> str:

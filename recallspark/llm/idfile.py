@@ -31,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, offsets_of, texts_of
+from .common import bounded, new_path, offsets_of, slices, texts_of
 from .encoding import encoder
 
 BLOCK = 4096
-LANES = 2048
+LANES = 1024
+FLUSH = 256  #: steps after which coded words leave their buffers
 SEGMENT = 1 << 19  #: ids after which a segment closes
 MAGIC = b"RSI1"
 SLOTS = 4096  #: order-2 contexts of a block
@@ -46,9 +47,6 @@ U = np.uint64
 LOW_MASK, TOP, BOTTOM = U((1 << 48) - 1), U(1 << 32), U(1 << 28)
 
 
-SEGMENT_SCHEMA = "part int, segment int, n_docs int, n_ids long, docs binary, blocks array<binary>"
-
-
 class Corrupt(ValueError):
     """A block's checksum or form is wrong."""
 
@@ -188,18 +186,29 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     order, running = _by_length(lengths)
     n, steps = len(blocks), len(running)
     found = [np.unique(blocks[i], return_inverse=True) for i in order]
-    seq = np.zeros((steps, n), np.int64)
+    seq = np.zeros((steps, n), np.uint16)
     for lane, (_, x) in enumerate(found):
         seq[: len(x), lane] = x
-    model = _Model(np.array([len(u) for u, _ in found], np.int64))
+    found = [u for u, _ in found]
+    model = _Model(np.array([len(u) for u in found], np.int64))
     low, span = np.zeros(n, np.uint64), np.full(n, LOW_MASK, np.uint64)
-    room = 4 * steps + 8
-    out, filled = np.zeros(n * room, np.uint16), np.arange(n) * room
+    # a step makes four words at most; full buffers go to `made`
+    room = 4 * FLUSH + 8
+    out, base = np.zeros(n * room, "<u2"), np.arange(n) * room
+    filled, made = base.copy(), [bytearray() for _ in range(n)]
+
+    def flush() -> None:
+        for lane, (a, b) in enumerate(zip(base.tolist(), filled.tolist(), strict=True)):
+            made[lane] += out[a:b].tobytes()
+        filled[:] = base
+
     for t in range(steps):
+        if t and t % FLUSH == 0:
+            flush()
         m = int(running[t])
         if t in REBUILD:
             model.rebuild()
-        x = seq[t, :m]
+        x = seq[t, :m].astype(np.int64)
         model.predict(m)
         start, size = model.interval(x, m)
         unit = span[:m] >> U(24)
@@ -221,11 +230,12 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         out[filled] = (low >> U(32)).astype(np.uint16)
         filled += 1
         low = (low << U(16)) & LOW_MASK
+    flush()
     done: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
-        ids = found[lane][0]
+        ids = found[lane]
         head = varints(np.diff(ids.astype(np.int64), prepend=0))
-        words = out[lane * room : filled[lane]].astype("<u2").tobytes()
+        words = bytes(made[lane])
         fields = [lengths[i], len(ids), len(head), len(words), zlib.crc32(blocks[i].astype("<u4").tobytes())]
         done[i] = np.array(fields, "<u4").tobytes() + head + words
     return done
@@ -255,7 +265,7 @@ def _decode_lanes(data: list[bytes]) -> list[np.ndarray]:
     source = np.concatenate([np.concatenate([w, np.zeros(4, w.dtype)]) for w in words]).astype(np.uint64)
     limit = len(source) - 1
     model = _Model(np.array([len(t) for t in tables], np.int64), search=True)
-    seq = np.zeros((steps, n), np.int64)
+    seq = np.zeros((steps, n), np.uint16)
     low, span, code = np.zeros(n, np.uint64), np.full(n, LOW_MASK, np.uint64), np.zeros(n, np.uint64)
     for _ in range(3):
         code = code << U(16) | source[np.minimum(at, limit)]
@@ -301,8 +311,7 @@ def _segments(vocabulary: str, spaced: bool, end_id: int | None):
         """Segments of whole documents, in the order in which the task reads them."""
         part, number, held, size, ready, blocks = TaskContext.get().partitionId(), 0, [], 0, [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch):
                 ids, offsets = encoder(vocabulary, spaced).encode(texts_of(some.column("text")))
                 for doc, a, b in zip(some.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                     held.append((doc, ids[a:b]))
@@ -351,7 +360,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, spaced: bool = True,
     """
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    bounded(spark)
+    # rows that share a doc_id part by their number: one id may hold a third of all rows
+    numbered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange(partitions, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     ordered.mapInArrow(_segments(vocabulary, spaced, end_id), SEGMENT_SCHEMA).write.parquet(path)
 
 

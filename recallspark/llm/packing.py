@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import texts_of
+from .common import bounded, slices, texts_of
 from .encoding import encoder
 
 #: Sequence numbers of one task: its number times this, and on.
@@ -78,8 +78,7 @@ def cut(docs: DataFrame, vocabulary: str, spaced: bool, end_id: int, window: int
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch):
                 ids, offsets = encoder(vocabulary, spaced).encode(texts_of(some.column("text")))
                 counts = np.diff(offsets) + 1
                 whole = np.insert(ids, offsets[1:], end_id).astype("<u4")
@@ -103,6 +102,7 @@ def cut(docs: DataFrame, vocabulary: str, spaced: bool, end_id: int, window: int
                 yield pa.RecordBatch.from_pydict(out)
                 row += len(counts)
 
+    bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(pieces, PIECES + (", ids array<long>" if with_ids else ""))
 

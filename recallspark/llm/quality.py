@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, texts_of, written
+from .common import bounded, maybe_broadcast, only, slices, texts_of, written
 from .textstats import sums, text_bytes
 from .toxicity import held_out, without
 
@@ -143,13 +143,14 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
 def scored(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
     """`score` with text_hash, which with the doc_id finds a row again."""
     spark = docs.sparkSession
+    bounded(spark)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out("doc_id", modulus, remainder).alias("held_out"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality", lambda: None)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch):
                 x = statistics(texts_of(some.column("text")))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), some.column("text_hash"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["doc_id", "held_out", "text_hash", *FEATURES])
 

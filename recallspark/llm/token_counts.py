@@ -24,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets_of, texts_of
+from .common import bounded, offsets_of, only, slices, texts_of
 from .textstats import sums
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the Unigram model
 PARTS = re.compile(" +[^ ]*|[^ ]+")
-MOST_PARTS = 500_000  #: distinct parts that a task remembers
+MOST_PARTS = 200_000  #: distinct parts that a task remembers
 
 
 def pieces_of(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -105,13 +105,8 @@ class Counter:
         return total
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(*pieces_of(path))
-    return _COUNTERS[path]
+    return only(("counter", path), lambda: Counter(*pieces_of(path)))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -119,9 +114,9 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch):
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(counter(vocabulary).of_texts(texts_of(some.column("text"))))], names=["doc_id", "n_tokens"])
 
+    bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, f"doc_id {kind}, n_tokens long")
