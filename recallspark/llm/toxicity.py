@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import maybe_broadcast, offsets_of, written
+from .common import bounded, maybe_broadcast, offsets_of, only, scratch, slices, written
 from .textstats import maxima, sums
 from .words import words
 
@@ -81,49 +81,72 @@ def ngram_counts(counted: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def without_fit(counts: DataFrame) -> DataFrame:
-    """The counts without the texts marked `fit`, of n-grams that the others have."""
-    return counts.select("gram", (F.col("toxic") - F.col("fit_toxic")).alias("toxic"), (F.col("ordinary") - F.col("fit_ordinary")).alias("ordinary")).where("toxic + ordinary > 0")
+#: The two models, and how their columns begin: that of all training texts, and that of those not marked `fit`.
+MODELS = ("all", "rest")
+
+
+def by_model(counts: DataFrame) -> DataFrame:
+    """gram, and toxic and ordinary counts of each model; an n-gram that a model doesn't have counts 0 in it."""
+    less = {"all": lambda c: F.col(c), "rest": lambda c: F.col(c) - F.col(f"fit_{c}")}
+    return counts.select("gram", *(less[m](c).alias(f"{m}_{c}") for m in MODELS for c in ("toxic", "ordinary")))
 
 
 def backoff(counts: DataFrame) -> DataFrame:
-    """tail, shared: P'(x | h') of the last ORDER - 1 characters of each n-gram, interpolated Kneser-Ney over continuation counts."""
-    own, longer = {}, counts.select("gram")
+    """tail, and shared of each model: P'(x | h') of the last ORDER - 1 characters of each n-gram, interpolated Kneser-Ney over continuation counts."""
+    own, longer = {}, counts.select("gram", *((F.col(f"{m}_toxic") + F.col(f"{m}_ordinary")).alias(f"{m}_own") for m in MODELS))
     for n in range(ORDER - 1, 0, -1):  # distinct left neighbours of each n-gram
-        longer = own[n] = written(longer.groupBy(F.substring(longer.columns[0], 2, n).alias("tail")).agg(F.count("*").alias("own")), "continuations")
+        left = [F.count_if(F.col(f"{m}_own") > 0).alias(f"{m}_own") for m in MODELS]
+        longer = own[n] = written(longer.groupBy(F.substring(longer.columns[0], 2, n).alias("tail")).agg(*left), "continuations")
     shared = None
     for n in range(1, ORDER):
         kinds = own[n].withColumn("h", F.substring("tail", 1, n - 1))
-        context = kinds.groupBy("h").agg(F.sum("own").alias("around"), F.count("*").alias("kinds"))
+        context = kinds.groupBy("h").agg(*(f for m in MODELS for f in (F.sum(f"{m}_own").alias(f"{m}_around"), F.count_if(F.col(f"{m}_own") > 0).alias(f"{m}_kinds"))))
         kinds = kinds.join(context, "h")
         if shared is None:
-            kinds = kinds.withColumn("below", 1.0 / F.col("kinds"))
+            kinds = kinds.withColumns({f"{m}_below": 1.0 / F.nullif(F.col(f"{m}_kinds"), F.lit(0)) for m in MODELS})
         else:
-            kinds = kinds.join(shared.select(F.col("tail").alias("end"), F.col("shared").alias("below")), F.substring("tail", 2, n - 1) == F.col("end"))
-        p = F.greatest(F.col("own") - DISCOUNT, F.lit(0.0)) / F.col("around") + DISCOUNT * F.col("kinds") / F.col("around") * F.col("below")
-        shared = kinds.select("tail", p.alias("shared"))
+            below = shared.select(F.col("tail").alias("end"), *(F.col(f"{m}_shared").alias(f"{m}_below") for m in MODELS))
+            kinds = kinds.join(below, F.substring("tail", 2, n - 1) == F.col("end"))
+        shared = kinds.select("tail", *(interpolated(m).alias(f"{m}_shared") for m in MODELS))
     return shared
 
 
+def interpolated(m: str) -> Column:
+    """P' of a continuation; null where the model has none after this history."""
+    around = F.nullif(F.col(f"{m}_around"), F.lit(0))
+    return F.greatest(F.col(f"{m}_own") - DISCOUNT, F.lit(0.0)) / around + DISCOUNT * F.col(f"{m}_kinds") / around * F.col(f"{m}_below")
+
+
 def units(ratio: Column) -> Column:
     return F.round(ratio * UNIT).cast("long")
 
 
 def train(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log-likelihood ratios in units: seen(gram, ratio), and context(history, otherwise) for n-grams not seen."""
-    total = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    if not total[0] or not total[1]:
-        return counts.select("gram", F.lit(0).cast("long").alias("ratio")).limit(0), counts.select(F.col("gram").alias("history"), F.lit(0).cast("long").alias("otherwise")).limit(0)
+    """Log-likelihood ratios in units, a column for each model: seen(gram, ...), and context(history, ...) for n-grams not seen.
+
+    A model without texts of both classes has none; a ratio is null where its model lacks the n-gram or history.
+    """
+    counts = by_model(counts)
+    total = counts.agg(*(F.sum(c).alias(c) for c in counts.columns[1:])).first()
     counts = counts.withColumn("history", F.substring("gram", 1, ORDER - 1))
-    sums = [f(c).alias(f"{c}_{name}") for c in ("toxic", "ordinary") for name, f in (("all", F.sum), ("cut", lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))))]
+    both = [(m, c, f"{m}_{c}") for m in MODELS for c in ("toxic", "ordinary")]
+    sums = [f for _, _, k in both for f in (F.sum(k).alias(f"{k}_total"), F.sum(F.least(F.col(k), F.lit(DISCOUNT))).alias(f"{k}_cut"))]
     by = counts.groupBy("history").agg(*sums)
-    for c in ("toxic", "ordinary"):
-        by = by.withColumn(f"{c}_free", F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_cut") / F.col(f"{c}_all")).otherwise(1.0))
+    by = by.withColumns({f"{k}_free": F.when(F.col(f"{k}_total") > 0, F.col(f"{k}_cut") / F.col(f"{k}_total")).otherwise(1.0) for _, _, k in both})
     by = written(by, "histories")
-    p = {c: F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0) + F.col(f"{c}_free") * F.col("shared") for c in ("toxic", "ordinary")}
+    p = {k: F.when(F.col(f"{k}_total") > 0, F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_total")).otherwise(0.0) + F.col(f"{k}_free") * F.col(f"{m}_shared") for m, _, k in both}
+    has = {m: F.lit(bool(total[f"{m}_toxic"] and total[f"{m}_ordinary"])) for m in MODELS}
     seen = counts.join(by, "history").join(backoff(counts), F.substring("gram", 2, ORDER - 1) == F.col("tail"))
-    seen = written(seen.select("gram", units(F.log(p["toxic"]) - F.log(p["ordinary"])).alias("ratio")), "ratios")
-    return seen, by.select("history", units(F.log("toxic_free") - F.log("ordinary_free")).alias("otherwise"))
+    ratios = (F.when(has[m] & (F.col(f"{m}_toxic") + F.col(f"{m}_ordinary") > 0), units(F.log(p[f"{m}_toxic"]) - F.log(p[f"{m}_ordinary"]))).alias(m) for m in MODELS)
+    seen = written(seen.select("gram", *ratios), "ratios")
+    free = (F.when(has[m] & (F.col(f"{m}_toxic_total") + F.col(f"{m}_ordinary_total") > 0), units(F.log(f"{m}_toxic_free") - F.log(f"{m}_ordinary_free"))).alias(m) for m in MODELS)
+    return seen, by.select("history", *free)
+
+
+def of_model(trained: tuple[DataFrame, DataFrame], model: str) -> tuple[DataFrame, DataFrame]:
+    """seen(gram, ratio) and context(history, otherwise) of one model."""
+    seen, context = (t.where(F.col(model).isNotNull()) for t in trained)
+    return seen.select("gram", F.col(model).alias("ratio")), context.select("history", F.col(model).alias("otherwise"))
 
 
 def word_ratios(distinct: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
@@ -191,22 +214,24 @@ def sums_of(model: tuple, column: pa.Array) -> list[np.ndarray]:
     return [sums(ratio, offsets), sums(chars, offsets), maxima(ratio, offsets, 0.0).astype(np.int64), np.diff(offsets), *beyond]
 
 
-def by_broadcast(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
-    """SUMS of each row of docs(..., words), the words left out, by the broadcast ratios of n-grams."""
+def by_broadcast(docs: DataFrame, seen: DataFrame, context: DataFrame, held: list) -> DataFrame:
+    """SUMS of each row of docs(..., words), the words left out, by the broadcast ratios of n-grams, which `held` gets."""
+    bounded(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((hashed(seen), hashed(context)))
+    held.append(model)
     keys = [c for c in docs.columns if c != "words"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity", lambda: None)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch, "words"):
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keys), *map(pa.array, sums_of(model.value, some.column("words")))], names=[*keys, *SUMS])
 
     kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys] + [f"{k} long" for k in SUMS]
     return docs.mapInArrow(each, ", ".join(kinds))
 
 
-def by_joins(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
+def by_joins(docs: DataFrame, seen: DataFrame, context: DataFrame, held: list) -> DataFrame:
     """The same by shuffles: n-grams of the distinct words with their ratios, then the words of the texts with these."""
     distinct = tokens(docs.select("words")).where(F.col("word").isNotNull()).distinct()
     ratios = written(word_ratios(distinct, seen, context), "word-ratios")
@@ -217,11 +242,11 @@ def by_joins(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
     return by.select(*keys[1:], *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
 
 
-def text_features(docs: DataFrame, seen: DataFrame, context: DataFrame) -> DataFrame:
-    """FEATURES of each row of docs(..., text), the text left out; zeros for one without words."""
+def text_features(docs: DataFrame, seen: DataFrame, context: DataFrame, held: list) -> DataFrame:
+    """FEATURES of each row of docs(..., text), the text left out; zeros for one without words. Broadcasts are put into `held`."""
     keys = [c for c in docs.columns if c != "text"]
     rows = docs.select(*keys, words(F.col("text")).alias("words"))
-    by = (by_broadcast if seen.count() <= common.BROADCAST_ROWS else by_joins)(rows, seen, context)
+    by = (by_broadcast if seen.count() <= common.BROADCAST_ROWS else by_joins)(rows, seen, context, held)
     made = [
         F.col("total") / float(UNIT) / F.greatest("chars", F.lit(1)),
         F.log1p(F.greatest("worst", F.lit(0)) / float(UNIT)),
@@ -261,17 +286,21 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int
     """`score` with text_hash, which with the doc_id finds a row again."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out("doc_id", modulus, remainder).alias("held_out"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
-    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = written(marks.where(~held_out("doc_id", modulus, remainder)), "toxic-labels")
-    small = maybe_broadcast(marks, marks.count())
-    present = own.select("doc_id").distinct()
-    sample = marks.where(fold(F.col("doc_id"))).join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = written(sample.withColumn("fit", F.lit(True)), "fit-labels")
-    marked = own.join(small, "doc_id").join(F.broadcast(sample.select("doc_id", "fit")), "doc_id", "left").withColumn("fit", F.coalesce("fit", F.lit(False)))
-    counts = written(ngram_counts(word_counts(marked)), "grams")
-    fit = text_features(own.join(F.broadcast(sample), "doc_id").drop("fit"), *train(without_fit(counts)))
-    fit = fit.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
-    known = written(text_features(own, *train(counts)), "toxicity")
+    with scratch(docs.sparkSession):
+        marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        marks = written(marks.where(~held_out("doc_id", modulus, remainder)), "toxic-labels")
+        small = maybe_broadcast(marks, marks.count())
+        present = own.select("doc_id").distinct()
+        sample = marks.where(fold(F.col("doc_id"))).join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+        sample = written(sample.withColumn("fit", F.lit(True)), "fit-labels")
+        marked = own.join(small, "doc_id").join(F.broadcast(sample.select("doc_id", "fit")), "doc_id", "left").withColumn("fit", F.coalesce("fit", F.lit(False)))
+        trained = train(written(ngram_counts(word_counts(marked)), "grams"))
+        held: list = []
+        fit = text_features(own.join(F.broadcast(sample), "doc_id").drop("fit"), *of_model(trained, "rest"), held)
+        fit = fit.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
+        known = written(text_features(own, *of_model(trained, "all"), held), "toxicity", keep=True)
+        for model in held:
+            model.destroy()
     fitted = logistic(fit[list(FEATURES)].to_numpy(float), fit["toxic"].to_numpy(float))
     return known.select("doc_id", "held_out", "text_hash", probability(fitted).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

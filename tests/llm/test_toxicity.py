@@ -45,18 +45,19 @@ def brute(texts):
     return counts, {g: math.log(p(1, g) / p(0, g)) for g in kinds[ORDER]}, {h: math.log(free(1, h)[0] / free(0, h)[0]) for h in histories}
 
 
-def test_every_ngram_is_in_the_model(spark):
+def test_every_ngram_is_in_the_models(spark):
     counts = toxicity.ngram_counts(toxicity.word_counts(spark.createDataFrame(TEXTS, DOCS).where("toxic is not null").selectExpr("*", "doc_id = 1 AS fit")))
-    want, ratios, contexts = brute(TEXTS)
-    assert {r.gram: (r.toxic, r.ordinary) for r in counts.collect()} == want
-    assert sum(a + b == 1 for a, b in want.values()) > 20  # met once
-    rest = {r.gram: (r.toxic, r.ordinary) for r in toxicity.without_fit(counts).collect()}
-    assert rest == brute(TEXTS[1:])[0]
-    seen, context = toxicity.train(counts)
-    seen = {r.gram: r.ratio / UNIT for r in seen.collect()}
-    context = {r.history: r.otherwise / UNIT for r in context.collect()}
-    assert seen.keys() == ratios.keys() and all(abs(seen[g] - v) < 1e-6 for g, v in ratios.items())
-    assert context.keys() == contexts.keys() and all(abs(context[h] - v) < 1e-6 for h, v in contexts.items())
+    trained = toxicity.train(counts)
+    for model, texts in (("all", TEXTS), ("rest", TEXTS[1:])):  # the first text is marked fit
+        want, ratios, contexts = brute(texts)
+        got = {r.gram: (r.toxic, r.ordinary) for r in toxicity.by_model(counts).selectExpr("gram", f"{model}_toxic AS toxic", f"{model}_ordinary AS ordinary").where("toxic + ordinary > 0").collect()}
+        assert got == want
+        assert sum(a + b == 1 for a, b in want.values()) > 20  # met once
+        seen, context = toxicity.of_model(trained, model)
+        seen = {r.gram: r.ratio / UNIT for r in seen.collect()}
+        context = {r.history: r.otherwise / UNIT for r in context.collect()}
+        assert seen.keys() == ratios.keys() and all(abs(seen[g] - v) < 1e-6 for g, v in ratios.items())
+        assert context.keys() == contexts.keys() and all(abs(context[h] - v) < 1e-6 for h, v in contexts.items())
 
 
 def test_scores_don_t_depend_on_the_kind_of_join(spark, sf_dir, monkeypatch):
