@@ -133,23 +133,21 @@ SKETCH = 1024  #: hashes of a text's sketch
 
 
 def sketch(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The SKETCH least 32-bit hashes of a bag's occurrences (element and its number), sorted.
+    """The SKETCH least 64-bit hashes of a bag's occurrences (element and its number), sorted.
 
     The Jaccard similarity of two bags' occurrences is their weighted Jaccard similarity; a sketch
     of fewer than SKETCH hashes holds them all.
     """
     each = np.repeat(elements.view(U), counts)
     number = np.arange(len(each)) - np.repeat(offsets_of(counts)[:-1], counts)
-    h = np.sort((mix(each + number.astype(U) * GOLDEN) >> U(32)).astype(np.uint32))
-    return h[:SKETCH]
+    return np.sort(mix(each + number.astype(U) * GOLDEN))[:SKETCH]
 
 
 def overlaps(own: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(common, all) hashes of one sketch and each of the others, up to where both are complete."""
     sizes = np.fromiter(map(len, others), np.int64, len(others))
     flat, at = np.concatenate(others), offsets_of(sizes)
-    end = (1 << 32) - 1
-    reach = np.where(sizes < SKETCH, end, flat[np.maximum(at[1:] - 1, 0)])
+    reach = np.where(sizes < SKETCH, U(MASK), flat[np.maximum(at[1:] - 1, 0)])
     if len(own) >= SKETCH:
         reach = np.minimum(reach, own[-1])
     inside = flat <= np.repeat(reach, sizes)

@@ -9,7 +9,9 @@
 4. In each bucket left, the nodes outside its largest component are compared with those of other
    components, so that no link between different components of a bucket is lost, while a large
    group of copies never meets itself. Large buckets are cut into blocks. Only pairs whose
-   signatures agree enough (4 standard deviations below the threshold) come out.
+   signatures agree enough (4 standard deviations below the threshold) come out. Of two components
+   that a verified link joins, no other link is needed; texts of fewer than bag.SKETCH shingles are
+   verified at once, as their sketches hold all of them.
 5. Every pair is verified by its exact weighted Jaccard similarity, least over largest counts.
 """
 
@@ -19,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
-from .common import maybe_broadcast, texts_of, written
+from .common import bounded, join_keyed, maybe_broadcast, only, scratch, slices, texts_of, written
 from .components import components
 from .textstats import lower_words
 
 THRESHOLD = 0.8
-BLOCK = 4096  #: nodes of a bucket that one task holds at once
+BLOCK = 1024  #: nodes of a bucket that one task holds at once
 SALT = 2000  #: pairs of one node that are verified in one group
 
 
@@ -36,9 +38,9 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, f1, f2 (of the words), bands, sig (low bytes of the registers) of docs that have an id and words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("minhash", lambda: None)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch):
                 words = lower_words(texts_of(some.column("text")))
                 hashes, offsets = bag.shingle_hashes(*words)
                 marks = bag.fingerprints(*words)
@@ -53,6 +55,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     "sig": pa.array([r.tobytes() for r in low[keep]], pa.binary()),
                 })
 
+    bounded(docs.sparkSession)
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(sign, "doc_id long, f1 long, f2 long, bands array<long>, sig binary")
 
@@ -62,8 +65,7 @@ def bags_of(docs: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch):
                 hashes, offsets = bag.shingle_hashes(*lower_words(texts_of(some.column("text"))))
                 got = [np.unique(hashes[a:b].view(np.int64), return_counts=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({
@@ -102,9 +104,10 @@ def _verifier(threshold: float):
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs(a, b) whose bags overlap enough. A node with many pairs is dealt to several groups."""
     bags = bags.drop("sketch")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT).cast("int"))
+    many = written(many, "salts")
     left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(bags.withColumnRenamed("doc_id", "a"), "a")
-    right = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(bags.withColumnRenamed("doc_id", "b"), "b")
+    right = join_keyed(pairs, many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(bags.withColumnRenamed("doc_id", "b"), "b")
     columns = ["a", "salt", "b", "elements", "counts"]
     rows = left.withColumn("b", F.lit(None).cast("long")).select(*columns).union(right.select(*columns))
     partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -120,7 +123,7 @@ def _across(threshold: float):
         docs, labels, probe = (np.array([r[k] for r in key]) for k in (0, 1, 2))
         bands = np.array([r[5] for r in key])
         sig = np.frombuffer(b"".join(r[3] for r in key), np.uint8).reshape(len(key), -1)
-        sketches = [np.frombuffer(r[4], np.uint32) for r in key]
+        sketches = [np.frombuffer(r[4], np.uint64) for r in key]
         whole = np.array([len(x) < bag.SKETCH for x in sketches])
         members = np.flatnonzero(~probe)
         for i in np.flatnonzero(probe):
@@ -168,9 +171,10 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> Da
     """(a, b) of nodes(doc_id, bands, sig) that connect every component of similar texts: verified links, or a node and its component."""
     spark = nodes.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("doc_id", F.explode("bands").alias("key")).repartition(partitions, "key")
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.countDistinct("doc_id").alias("n")).where("n > 1")
-    met = written(rows.join(buckets, "key").select("key", "doc_id", "pivot", "n"), "buckets")
+    # one row a node and key: an id with several texts is one document
+    rows = nodes.select("doc_id", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    met = written(join_keyed(rows, written(buckets, "bucket-sizes"), "key").select("key", "doc_id", "pivot", "n"), "buckets")
     candidates = written(met.select("doc_id").distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(maybe_broadcast(candidates, candidates.count()), "doc_id", "left_semi")
     bags = written(bags_of(texts.dropDuplicates(["doc_id", "text"])), "bags")
@@ -180,8 +184,9 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> Da
     label = components(found)
     labelled = met.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
-    open_rows = labelled.join(mixed.select("key", F.col("largest.label").alias("largest")), "key")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("largest"), F.count("*").alias("labels"), F.sum("size").alias("rows")).where("labels > 1")
+    mixed = written(mixed.select("key", F.col("largest.label").alias("largest"), "rows"), "mixed")
+    open_rows = join_keyed(labelled, mixed, "key", "rows")
     open_rows = open_rows.join(nodes.select("doc_id", "sig", "bands"), "doc_id").join(bags.select("doc_id", "sketch"), "doc_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = open_rows.withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "probe": F.lit(False)})
     probes = open_rows.where("label <> largest").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "probe": F.lit(True)})
@@ -201,12 +206,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class but their own. Rows that share a doc_id are one document with all their texts; rows
     without one are left out. Other columns are ignored; an empty table gives no rows.
     """
+    with scratch(docs.sparkSession):
+        return written(_classes(docs, threshold), "classes", keep=True).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     known = written(signed(docs), "signed")
     grouped = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("n"))
     groups = written(grouped, "texts")
     nodes = groups.select(F.col("node").alias("doc_id"), "bands", "sig")
-    copies = groups.where("n > 1").select("f1", "f2", "node")
-    copied = known.select("doc_id", "f1", "f2").join(copies, ["f1", "f2"]).where("doc_id <> node").select("doc_id", "node").distinct()
+    copies = written(groups.where("n > 1").select("f1", "f2", "node", "n"), "copied")
+    copied = join_keyed(known.select("doc_id", "f1", "f2"), copies, ["f1", "f2"]).where("doc_id <> node").select("doc_id", "node").distinct()
     copied = written(copied, "copies")
     near = written(links(nodes, docs, threshold), "links")
     # copies hang on their node; only an id with several texts can join two nodes
@@ -214,22 +224,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bridges = copied.join(maybe_broadcast(several, several.count()), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     own = known.select("doc_id").distinct().join(nodes.select("doc_id").distinct(), "doc_id").select("doc_id")
     bridged = copied.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    label = written(components(near.union(bridges).union(bridged)), "components")
+    label = components(near.union(bridges).union(bridged))
     head = copied.groupBy("doc_id").agg(F.min("node").alias("node"))
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
     placed = ids.join(head, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    placed = placed.join(label, "node", "left").select("doc_id", F.least(F.coalesce("component", "node"), "node").alias("class_id"))
-    return placed.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    # the nodes of large groups have many rows: their components go to them
+    counted = written(placed.groupBy("node").agg(F.count("*").alias("n")).join(label, "node", "left"), "node-components")
+    return join_keyed(placed, counted, "node").select("doc_id", F.least(F.coalesce("component", "node"), "node").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with one document of each class: the least doc_id. Rows without an id stay; of rows that share one, one stays."""
-    found = written(classes(docs, threshold), "classes")
+    found = classes(docs, threshold)
     gone = written(found.where("not kept").select("doc_id"), "gone")
     left = docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     repeated = written(left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not (n := repeated.count()):
         return left
     again = maybe_broadcast(repeated, n)
-    one = left.join(again, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_rank = 1").drop("_rank")
+    # the row of the least text, whatever its columns are called
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text")).alias("row")).select("row.*")
     return left.join(again, "doc_id", "left_anti").unionByName(one)
