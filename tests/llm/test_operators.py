@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import same_as_sql
 
-from recallspark.llm import bagminhash, chat, decontamination, idfile, minhash, packing, quality, queries, sharding, token_counts, toxicity, vectors
+from recallspark.llm import bagminhash, chat, common, decontamination, idfile, minhash, packing, quality, queries, sharding, token_counts, toxicity, vectors
 from recallspark.llm.encoding import vocabulary
 
 DOCS = "doc_id long, text string, conv_id string, w int, shard int, score string"
@@ -33,9 +33,7 @@ def none(spark):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(name))
 
 
 def crc(ids):
@@ -47,6 +45,23 @@ def test_sql(spark, duck, sf_dir, name):
     same_as_sql(queries.queries()[name](spark, sf_dir), duck, queries.oracle_sql()[name])
 
 
+END_MARK = "<|endoftext|>"
+MARKED = [END_MARK, f"x{END_MARK}y", f"x {END_MARK}", f"{END_MARK} x", f"a  {END_MARK}  b", f"{END_MARK}{END_MARK}", f"a\n{END_MARK}\n b", f"<|startoftext|>a B{END_MARK}", f"{END_MARK.upper()} <|end", f"don't{END_MARK}'t {END_MARK} {END_MARK}"]
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoding_is_that_of_the_untouched_library(name, spaced):
+    import pyarrow as pa
+
+    from recallspark.llm.encoding import Encoder
+
+    plain, own = tokenizer(name), Encoder(vocabulary(name), spaced, most_pieces=20)  # its store is trimmed all the time
+    texts = MARKED + [r[1] or "" for r in ODD] + ["", " ", "  lead", "trail  ", "tab\t x", "é漢字🙂 ok"]
+    for some in (texts, texts[::-1], texts):
+        ids, at = own.encode(pa.array(some, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def check_ids(found, docs):
     t = tokenizer("byte_bpe_50k.json")
     want, start = [], 0
@@ -63,6 +78,10 @@ def test_token_ids(spark, sf_dir, odd, none):
     path = vocabulary("byte_bpe_50k.json")
     check_ids(idfile.encode_documents(odd, path).collect(), [r[:2] for r in ODD])
     assert idfile.encode_documents(none, path).count() == 0
+    same = spark.range(400).selectExpr("id % 2 AS doc_id", "repeat('a b ', int(id)) AS text")  # two keys hold all rows
+    rows = idfile.encode_documents(same, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [0] * 200 + [1] * 200
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
 
 
 def test_blocks_round_trip_and_reset():
@@ -143,10 +162,24 @@ def test_chat_round_trip(spark):
         assert got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     made = chat.example_texts(turns).where("conv_id = 1").orderBy("example").collect()
-    assert len(made) == 2 and made[1].context.startswith(made[0].context) and made[1].target == chat.END
+    assert len(made) == 2 and made[1].context.startswith(made[0].context + made[0].target) and made[1].target == chat.END
     assert chat.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_examples_against_sql(spark, duck, sf_dir):
+    """Every assistant turn is an example whose context is all before it, in a conversation of many turns too."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    own = chat.expanded(chat.format_turns(turns)).where("target is not null").select("conv_id", "turn_number", "context_end", "target")
+    said = "replace(replace(replace({}, '\\', '\\s'), '<', '\\l'), '[', '\\b')".format
+    same_as_sql(own, duck, f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+      f AS (SELECT *, row_number() OVER w - 1 AS turn_number, '<|' || replace({said('role')}, '>', '\\g') || '|>' || chr(10) AS head, {said('text')} || '<|end|>' || chr(10) AS target FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+      SELECT conv_id, turn_number, target, CAST(context_end AS BIGINT) AS context_end FROM (SELECT *, length(head) + coalesce(sum(length(head) + length(target)) OVER (PARTITION BY conv_id ORDER BY turn_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS context_end FROM f) WHERE role = 'assistant'""")
+    many = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'t' || id AS text")
+    row = chat.digests(many).first()
+    loss = "".join(f"t{i}" for i in range(1, 3000, 2))
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (3000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_token_counts_match_the_library(spark, odd, none):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
@@ -187,6 +220,18 @@ def test_sharding(spark, odd, none):
     assert sharding.assign(many, 100)[1].agg({"n_bytes": "max"}).first()[0] <= 100
 
 
+def test_written_shards_hold_every_row(spark, odd, tmp_path):
+    docs = odd.unionByName(odd)  # every id twice or more, a column named shard
+    listed = {"s" + r.shard: r for r in sharding.write_shards(docs, 40, f"{tmp_path}/out").collect()}
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.columns == [*odd.columns, "_shard"]
+    assert sorted(map(repr, back.drop("_shard").collect())) == sorted(map(repr, docs.collect()))
+    size = collections.Counter()
+    for r in back.collect():
+        size[r._shard] += len((r.text or "").encode())
+    assert dict(size) == {k: r.n_bytes for k, r in listed.items()}
+
+
 @pytest.mark.parametrize("module,label,modulus,remainder", [(quality, "quality", 3, 1), (toxicity, "toxic", 5, 0)])
 def test_classifiers(spark, module, label, modulus, remainder, odd, none):
     sf = "/root/testdata/sf0.01"
@@ -235,7 +280,11 @@ def components_of(n, links):
     return top
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_vectors(spark, monkeypatch, small):
+    if small:  # the ways beyond the bounds: shuffled joins, hot keys, cells cut into blocks
+        for module, name, value in ((common, "FEW_KEYS", -1), (common, "HOT_ROWS", 5), (vectors, "BLOCK", 4)):
+            monkeypatch.setattr(module, name, value)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 16))
     v = np.vstack([base + rng.normal(scale=0.12, size=base.shape) for _ in range(8)] + [base[:5]])
@@ -296,6 +345,42 @@ def test_near_duplicates(spark, sf_dir, odd, none):
     assert minhash.classes(none).count() == 0
 
 
+def test_near_duplicates_beyond_the_bounds(spark, monkeypatch):
+    """One large group of copies and one of near copies, with shuffled joins, hot keys, buckets in blocks and salted groups."""
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+    docs = [(k, " ".join(base)) for k in range(40)]
+    for k in range(60):
+        own = list(base)
+        own[int(rng.integers(0, 120))] = f"x{k}"
+        docs.append((100 + k, " ".join(own)))
+    docs += [(200 + k, " ".join(f"u{k}y{i}" for i in range(30))) for k in range(10)]
+    for module, name, value in ((common, "FEW_KEYS", -1), (common, "HOT_ROWS", 5), (common, "BROADCAST_ROWS", -1), (minhash, "BLOCK", 8), (minhash, "SALT", 7)):
+        monkeypatch.setattr(module, name, value)
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[d] for d, _ in docs] == brute_classes(docs)
+
+
+def test_recall_of_lattice_cells():
+    """In the table's dimension, pairs of cosine 0.9 meet in a cell, unrelated ones hardly ever."""
+    from recallspark.llm import lattice
+
+    rng = np.random.default_rng(19)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    off = rng.normal(size=a.shape)
+    off -= (off * a).sum(1)[:, None] * a
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    planes = lattice.projections(64)
+    of = lambda x: lattice.cells(x, planes)
+    meet = lambda x, y: ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1)
+    cells = of(a)
+    assert meet(cells, of(0.9 * a + (1 - 0.81) ** 0.5 * off)).mean() >= 0.95
+    assert meet(cells, of(0.95 * a + (1 - 0.9025) ** 0.5 * off)).mean() >= 0.995
+    far = np.mean([meet(cells, np.roll(cells, k, axis=0)).mean() for k in range(1, 60)])
+    assert far < 3e-4, far
+
+
 def test_signatures_and_sketches_estimate_weighted_jaccard():
     rng = np.random.default_rng(13)
     a, b = ({int(e): int(c) for e, c in zip(rng.integers(0, 1 << 40, 600), rng.integers(1, 9, 600), strict=True)} for _ in range(2))
