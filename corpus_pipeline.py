@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recallspark.llm import decontamination, minhash, packing, quality, toxicity
-from recallspark.llm.common import table, written
+from recallspark.llm.common import scratch, table, written
 from recallspark.llm.encoding import vocabulary
 
 
@@ -54,6 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written as Parquet in the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    *first, (last_name, last) = STAGES
+    with scratch(spark):  # what operators and stages have written goes, but for the last result
+        for name, stage in first:
+            with scratch(spark):
+                docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        return written(last(spark, docs, sf_dir), last_name, keep=True)
