@@ -158,7 +158,7 @@ def pack_sections(facts: DataFrame, sessions: DataFrame) -> DataFrame:
     own = facts.where(~F.col("deleted") & ~F.col("private")).select(F.lit("facts").alias("section"), F.to_json(F.struct("fact_id", "entity", "key", "value")).alias("line"))
     other = sessions.select(F.lit("sessions").alias("section"), F.to_json(F.struct(*sessions.columns)).alias("line"))
     part = F.conv(F.substring(F.sha2(F.col("line").cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return own.union(other).groupBy("section").agg(F.count("*").alias("rows"), F.sum(part).cast("decimal(38,0)").alias("digest"))
+    return own.union(other).groupBy("section").agg(F.count("*").alias("rows"), F.sum(part).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
 def dossier(facts: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def _(spark, d):
 
 @query("s24_pack_sections", f"""WITH {FACTS}, p AS (SELECT 'facts' AS section, '{{"fact_id":' || fact_id || ',"entity":"' || entity || '","key":"' || key || '","value":"' || value || '"}}' AS line FROM facts WHERE NOT deleted AND NOT private
   UNION ALL SELECT 'sessions', '{{"session":' || user_id || ',"n":' || count(*) || '}}' FROM events GROUP BY user_id)
-SELECT section, count(*) AS rows, CAST(sum(CAST('0x' || left(sha256(line), 12) AS BIGINT)) AS DECIMAL(38, 0)) AS digest FROM p GROUP BY 1""")
+SELECT section, count(*) AS rows, CAST(CAST(sum(CAST('0x' || left(sha256(line), 12) AS BIGINT)) AS DECIMAL(38, 0)) AS VARCHAR) AS digest FROM p GROUP BY 1""")
 def _(spark, d):
     sessions = table(spark, d, "events").groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("n"))
     return lens.pack_sections(fact_rows(spark, d), sessions)
