@@ -29,7 +29,7 @@ SPACES = ODD_SPACE[:-1] + "+"
 class Encoder:
     """ids of whole texts; `spaced`: white space before a word counts (byte-level vocabularies)."""
 
-    def __init__(self, path: str, spaced: bool, most_pieces: int = 150_000):
+    def __init__(self, path: str, spaced: bool, most_pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,10 +47,10 @@ class Encoder:
         self.used = np.zeros(0, np.int64)
 
     def _trim(self) -> None:
-        """Keep the pieces used most, a third of the store at most."""
+        """Keep the pieces used most, half of the store at most."""
         flat, lengths = self._store()
         used = np.append(self.used, np.zeros(len(lengths) - len(self.used), np.int64))
-        keep = np.sort(np.argsort(-used, kind="stable")[: self.most_pieces // 3])
+        keep = np.sort(np.argsort(-used, kind="stable")[: self.most_pieces // 2])
         keep = keep[used[keep] > 1]
         pieces = list(self.index)
         self.all = (ragged(flat, offsets_of(lengths)[keep], lengths[keep]), lengths[keep])
