@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, new_path, offsets_of, slices, texts_of
+from .common import SLICE_BYTES, bounded, new_path, offsets_of, slices, texts_of
 from .encoding import encoder
 
 BLOCK = 4096
@@ -311,7 +311,7 @@ def _segments(vocabulary: str, spaced: bool, end_id: int | None):
         """Segments of whole documents, in the order in which the task reads them."""
         part, number, held, size, ready, blocks = TaskContext.get().partitionId(), 0, [], 0, [], 0
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, most=2 * SLICE_BYTES):
                 ids, offsets = encoder(vocabulary, spaced).encode(texts_of(some.column("text")))
                 for doc, a, b in zip(some.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                     held.append((doc, ids[a:b]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded, slices, texts_of
+from .common import SLICE_BYTES, bounded, slices, texts_of
 from .encoding import encoder
 
 #: Sequence numbers of one task: its number times this, and on.
@@ -78,7 +78,7 @@ def cut(docs: DataFrame, vocabulary: str, spaced: bool, end_id: int, window: int
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, most=2 * SLICE_BYTES):
                 ids, offsets = encoder(vocabulary, spaced).encode(texts_of(some.column("text")))
                 counts = np.diff(offsets) + 1
                 whole = np.insert(ids, offsets[1:], end_id).astype("<u4")
