@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,28 +131,35 @@ def address(query: Column) -> Column:
 CHUNK, CHUNK_LEAST, CHUNK_OVERLAP = 1800, 1200, 180
 
 
+#: White space at the ends of a text, as `\\s` has it.
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a lambda that names an expression from outside computes it at every call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunk_pattern(least: int, most: int) -> str:
+    """The next piece of a text: all that is left, else up to the last blank line, the last white space, or `most`."""
+    # a blank line that ends just at `most` is white space there as well
+    return rf"(?:.{{1,{most}}}+\z|.{{{least - 2},{most - 2}}}\n\n|.{{{least - 1},{most - 1}}}\s|.{{{most}}})"
+
+
 def chunks(text: Column) -> Column:
     """Overlapping chunks of a text: each ends after the last blank line in reach, else after the last white space, else at CHUNK.
 
-    One expression: a fold over as many steps as the text can have chunks.
+    One expression finds what each chunk adds to those before it, in one pass; a chunk repeats the end of the piece before.
     """
-    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
-    steps = F.sequence(F.lit(0), F.floor(F.length(body) / (CHUNK_LEAST - CHUNK_OVERLAP)).cast("int"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("made"))
+    more = _chunk_pattern(CHUNK_LEAST - CHUNK_OVERLAP, CHUNK - CHUNK_OVERLAP)
+    pattern = rf"(?s)\A{_chunk_pattern(CHUNK_LEAST, CHUNK)}|(?!\A)\G{more}"
+    body = F.trim(F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE)))
 
-    def step(acc: Column, _: Column) -> Column:
-        window = F.substring(body, acc["at"] + 1, F.lit(CHUNK))
-        paragraph = F.length(F.regexp_extract(window, rf"^[\s\S]{{{CHUNK_LEAST - 2},{CHUNK - 2}}}\n\n", 0))
-        space = F.length(F.regexp_extract(window, rf"^[\s\S]{{{CHUNK_LEAST - 1},{CHUNK - 1}}}\s", 0))
-        rest = F.length(body) - acc["at"]
-        # a paragraph that ends just at CHUNK is no earlier boundary, so white space is looked for
-        size = F.when(rest <= CHUNK, rest).when((paragraph > 0) & (paragraph < CHUNK), paragraph).when(space > 0, space).otherwise(F.lit(CHUNK))
-        piece = F.regexp_replace(F.substring(body, acc["at"] + 1, size), r"^\s+|\s+$", "")
-        made = F.when(piece != "", F.concat(acc["made"], F.array(piece))).otherwise(acc["made"])
-        after = F.when(rest <= CHUNK, F.length(body)).otherwise(acc["at"] + size - CHUNK_OVERLAP)
-        return F.when(rest > 0, F.struct(after.alias("at"), made.alias("made"))).otherwise(acc)
+    def made(pieces: Column) -> Column:
+        before = lambda i: F.coalesce(F.right(F.get(pieces, i - 1), F.lit(CHUNK_OVERLAP)), F.lit(""))
+        return F.filter(F.transform(pieces, lambda p, i: F.btrim(F.concat(before(i), p), F.lit(_SPACE))), lambda c: c != "")
 
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.aggregate(steps, start, step)["made"])
+    return _once(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), made)
 
 
 def markdown_sections(text: Column) -> Column:
@@ -162,12 +170,12 @@ def markdown_sections(text: Column) -> Column:
 
 def summary(text: Column, chars: int) -> Column:
     """The first sentence, those of a decision, and the last one, in order, as far as they fit `chars`."""
-    sentences = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), r"(?<=[.!?]) "), lambda s: s != "")
-    n = F.size(sentences)
-    kept = F.filter(sentences, lambda s, i: (i == 0) | (i == n - 1) | s.rlike(r"(?i)\b(decided|decision|agreed|chose|because|must)\b"))
-    start = F.lit("")
+    found = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), r"(?<=[.!?]) "), lambda s: s != "")
+    said = lambda s: s.rlike(r"(?i)\b(decided|decision|agreed|chose|because|must)\b")
+    kept = _once(found, lambda all_: F.filter(all_, lambda s, i: (i == 0) | (i == F.size(all_) - 1) | said(s)))
     joined = lambda acc, s: F.when(acc == "", s).otherwise(F.concat_ws(" ", acc, s))
-    return F.aggregate(kept, start, lambda acc, s: F.when(F.length(joined(acc, s)) <= chars, joined(acc, s)).otherwise(acc))
+    size = lambda acc, s: F.length(acc) + F.length(s) + F.when(acc == "", 0).otherwise(1)
+    return F.aggregate(kept, F.lit(""), lambda acc, s: F.when(size(acc, s) <= chars, joined(acc, s)).otherwise(acc))
 
 
 #: Kinds of facts that a text states, and the pattern of each one's object.
