@@ -44,10 +44,23 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Stemmed search tokens in order, for short texts; retrieval.terms_of makes rows of them, which is faster."""
+    """Stemmed search tokens in order, repeats kept."""
     return F.transform(words(text), stem)
 
 
+def runs(tokens: Column) -> Column:
+    """One text for each distinct search token: the token and a space, as often as it is in the array. See run_term and run_count."""
+    return F.regexp_extract_all(F.concat(F.array_join(F.sort_array(tokens), " "), F.lit(" ")), F.lit(r"([^ ]+ )\1*+"), F.lit(0))
+
+
+def run_term(run: Column) -> Column:
+    return F.substring_index(run, " ", 1)
+
+
+def run_count(run: Column) -> Column:
+    return (F.octet_length(run) / (F.octet_length(run_term(run)) + 1)).cast("long")
+
+
 def case_terms(text: Column) -> Column:
     """Distinct terms of a task: runs of letters and digits of two bytes or more, in lower case."""
     found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")

@@ -200,7 +200,7 @@ def _(spark, d):
 
 @query("f8_chunks")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("chunk", "text"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode_outer(t.chunks(F.col("text"))).alias("chunk", "text")).where("chunk is not null")
 
 
 @query("f7_summaries")
