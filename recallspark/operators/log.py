@@ -100,11 +100,11 @@ def chain_breaks(chain: DataFrame, by: list[str]) -> DataFrame:
 
 def range_digests(log: DataFrame, by: list[str], order: str, value: str, chunk: int = 128) -> DataFrame:
     """by, chunk, records, digest: SHA-256 over each run of `chunk` records in the order of a number or time that tells them apart."""
-    own = log.select(*by, order, F.sha2(F.col(value).cast("string"), 256).alias("h"))
+    own = log.select(*by, order, F.unhex(F.sha2(F.col(value).cast("string"), 256)).alias("h"))
     placed = numbered(own, by, F.col(order), [order], "n").withColumn("chunk", F.expr(f"(n - 1) div {chunk}"))
     item = F.array_sort(F.collect_list(F.struct("n", "h")))
     out = placed.groupBy(*by, "chunk").agg(F.count("*").alias("records"), item.alias("items"))
-    return out.select(*by, "chunk", "records", F.sha2(F.array_join(F.transform("items", lambda x: x["h"]), ""), 256).alias("digest"))
+    return out.select(*by, "chunk", "records", F.sha2(F.array_join(F.transform("items", lambda x: F.lower(F.hex(x["h"]))), ""), 256).alias("digest"))
 
 
 def current_state(changes: DataFrame, key: list[str], arrival: str, at: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import kept
+
 PARTS = 64  #: ranges into which a list is cut
 
 
@@ -19,10 +21,11 @@ def numbered(df: DataFrame, by: list[str], on: Column, order: list, name: str =
     keyed = df.select(F.struct("*").alias("row"), *(F.col(c).alias(f"by{i}") for i, c in enumerate(by)), on.cast("double").alias("on"))
     keys = [f"by{i}" for i in range(len(by))]
     cuts = F.percentile_approx("on", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(100 * parts))
-    bounds = keyed.groupBy(*keys).agg(cuts.alias("cuts"))
+    # written: where lists are few, their cuts are known to be small, and no row moves to meet them
+    bounds = kept(keyed.groupBy(*keys).agg(cuts.alias("cuts")), "bounds")
     ranged = keyed.alias("l").join(bounds.alias("r"), _same(keys), "left").select(*(f"l.{k}" for k in keys), "row", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("on"))), F.lit(0)).alias("range"))
     sizes = ranged.groupBy(*keys, "range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("range")) - F.col("n")).drop("n")
+    before = kept(sizes.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("range")) - F.col("n")).drop("n"), "before")
     inside = F.row_number().over(Window.partitionBy(*keys, "range").orderBy(*(_inside(o) for o in order)))
     counted = ranged.withColumn("inside", inside)
     return counted.alias("l").join(before.alias("r"), _same([*keys, "range"])).select("row.*", (F.col("inside") + F.col("before")).alias(name))
