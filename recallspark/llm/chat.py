@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: What stands for a character in escaped texts; backslash first.
 ESCAPES = (("\\", "\\s"), ("<", "\\l"), ("[", "\\b"))
 END = "<|end|>\n"
+BLOCK = 4096  #: code points of a formatted conversation that are looked through for an example's start
 
 
 def escape(text: Column) -> Column:
@@ -109,13 +110,33 @@ def turns_of(formatted: Column) -> Column:
     return F.transform(heads, turn)
 
 
+def _trained(formatted: Column, examples: Column) -> Column:
+    """The trainable text of each example, unescaped, read from the formatted conversation at the end of its context.
+
+    The conversation is cut into blocks once and an example reads those that it touches, so the work
+    grows with the text and not with the square of the turns.
+    """
+
+    def read(blocks: Column) -> Column:
+        def one(e: Column) -> Column:
+            chars = F.length(e["target"]) - len(END)
+            first = F.floor(e["context_end"] / BLOCK).cast("int")
+            last = F.floor((e["context_end"] + chars) / BLOCK).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+            return unescape(F.substring(near, (e["context_end"] % BLOCK).cast("int") + 1, chars))
+
+        return F.transform(examples, one)
+
+    cut = F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.get(F.transform(F.array(cut), read), F.lit(0))  # a lambda's argument is computed once
+
+
 def digests(turns: DataFrame) -> DataFrame:
-    """What the formatted conversations say of their turns, and their examples of the targets, one row a conversation."""
+    """What the formatted conversations say of their turns, and under the loss masks of their examples, one row a conversation."""
     whole = conversations(expanded(format_turns(turns)))
     said = whole.select("conv_id", "formatted", "examples", turns_of(F.col("formatted")).alias("turns"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = lambda e: F.substring(e["target"], F.lit(1), F.length(e["target"]) - len(END))
-    loss = F.array_join(F.transform("examples", lambda e: unescape(trained(e))), "")
+    loss = F.array_join(_trained(F.col("formatted"), F.col("examples")), "")
     return said.select("conv_id", "formatted", "turns", all_turns.alias("all"), loss.alias("loss")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
