@@ -23,21 +23,27 @@ STATE = f"{FACT}, superseded_by string, deleted boolean, valid_from timestamp, v
 
 
 def groups(ops: DataFrame) -> DataFrame:
-    """line, grp for every operation: operations that share a fact, directly or through others, share a group.
+    """ops with grp: operations that share a fact, directly or through others, share a group.
 
-    Labels of lines and of facts are lowered in turns until nothing changes; rounds grow with the
-    longest chain of operations, which consolidations keep short.
+    A fact's label is the hash of its id, or the least of the facts that operations link it to; only
+    operations that name several facts are gone through for these, in turns until nothing changes.
+    Rounds grow with the longest chain of operations, which consolidations keep short. Facts with
+    one hash are folded together, which changes no result.
     """
-    named = F.array_compact(F.array("fact.fact_id", "fact_id", "by_fact_id"))
-    pairs = kept(ops.select("line", F.explode_outer(F.array_distinct(F.concat(named, F.coalesce("ids", F.array().cast("array<string>"))))).alias("id")), "journal-ids")
-    label = kept(pairs.groupBy("line").agg(F.min("line").alias("grp")), "journal-groups")
+    named = F.concat(F.array("fact.fact_id", "fact_id", "by_fact_id"), F.coalesce("ids", F.array().cast("array<string>")))
+    facts = F.array_distinct(F.transform(F.array_compact(named), lambda i: F.xxhash64(i)))
+    pairs = kept(ops.select("line", facts.alias("facts")).where(F.size("facts") > 1).select("line", F.explode("facts").alias("id")), "journal-ids")
+    label = kept(pairs.groupBy("line").agg(F.min("id").alias("grp")), "journal-groups")
     while True:
-        by_fact = pairs.where("id is not null").join(label, "line").groupBy("id").agg(F.min("grp").alias("grp"))
+        by_fact = pairs.join(label, "line").groupBy("id").agg(F.min("grp").alias("grp"))
         lower = pairs.join(by_fact, "id").groupBy("line").agg(F.min("grp").alias("low"))
-        moved = kept(label.join(lower, "line", "left").select("line", F.least("grp", "low").alias("grp"), (F.col("low") < F.col("grp")).alias("moved")), "journal-groups")
+        moved = kept(label.join(lower, "line").select("line", F.least("grp", "low").alias("grp"), (F.col("low") < F.col("grp")).alias("moved")), "journal-groups")
         label = moved.select("line", "grp")
         if moved.where("moved").isEmpty():
-            return label
+            break
+    linked = pairs.join(label, "line").groupBy("id").agg(F.min("grp").alias("label"))
+    own = ops.withColumn("id", F.coalesce(F.get(facts, F.lit(0)), F.xxhash64("line")))
+    return own.join(linked, "id", "left").withColumn("grp", F.coalesce("label", "id")).drop("id", "label")
 
 
 def _live(facts: dict, i: str | None) -> dict | None:
@@ -138,8 +144,8 @@ def replay(ops: DataFrame) -> DataFrame:
     In the end links into another chain or tenant are cleared: supersedes to another tenant, entity
     or key, superseded_by to another tenant. Ids that no fact has stay.
     """
-    flat = ops.select("line", "op", "fact_id", "by_fact_id", "ids", "valid_from", "valid_to", *(F.col(f"fact.{c.split()[0]}").alias(f"f_{c.split()[0]}") for c in FACT.split(", ")))
-    grouped = flat.join(groups(ops), "line").repartition("grp").sortWithinPartitions("grp", "line")
+    flat = groups(ops).select("grp", "line", "op", "fact_id", "by_fact_id", "ids", "valid_from", "valid_to", *(F.col(f"fact.{c.split()[0]}").alias(f"f_{c.split()[0]}") for c in FACT.split(", ")))
+    grouped = flat.repartition("grp").sortWithinPartitions("grp", "line")
     facts = kept(grouped.mapInPandas(_fold, STATE), "journal-facts")
     ends = facts.select(F.col("fact_id").alias("end"), *(F.col(c).alias(f"end_{c}") for c in ("tenant", "entity", "key")))
     back = facts.join(ends, facts["supersedes"] == ends["end"], "left").withColumn("supersedes", F.when(F.col("end").isNotNull() & ~((F.col("tenant") == F.col("end_tenant")) & (F.col("entity") == F.col("end_entity")) & (F.col("key") == F.col("end_key"))), None).otherwise(F.col("supersedes"))).select(*facts.columns)

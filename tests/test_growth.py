@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as t
-from recallspark.operators import graph, log
+from recallspark.operators import graph, journal, log
 from recallspark.operators import retrieval as r
 
 
@@ -67,3 +67,16 @@ def test_rows_move_once_to_be_numbered(spark):
     # by range, and by chunk; the cuts and the rows before them are broadcast
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
     assert df.agg(F.sum("records")).first()[0] == 3000
+
+
+def test_groups_follow_links_only(spark, monkeypatch):
+    ops = spark.createDataFrame([(1, "a", None, None), (2, "b", "a", None), (3, "c", None, ["d", None, "b"]), (4, "e", None, None), (5, None, None, None), (6, "d", None, []), (7, "e", None, None)], "line long, fact_id string, by_fact_id string, ids array<string>")
+    ops = ops.withColumn("fact", F.lit(None).cast("struct<fact_id:string>"))
+    written = []
+    kept = journal.kept
+    monkeypatch.setattr(journal, "kept", lambda df, what: written.append((what, kept(df, what))) or written[-1][1])
+    sets = {}
+    for x in journal.groups(ops).collect():
+        sets.setdefault(x.grp, set()).add(x.line)
+    assert sorted(map(sorted, sets.values())) == [[1, 2, 3, 6], [4, 7], [5]]
+    assert {x.line for x in written[0][1].collect()} == {2, 3}
