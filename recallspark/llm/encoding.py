@@ -4,10 +4,15 @@ A byte-level or word-level BPE never merges across the places where a run of whi
 follows a visible character, so a text may be cut there, each distinct piece encoded once by
 the library and the ids put together again: the same ids as from encoding whole texts. The
 library is used as it comes: the strings of its added tokens in a text are these tokens.
+
+The byte-level pre-tokenizer's own pattern ends a run of letters at any other character and a run
+of visible ones at white space, so its texts are also cut there, which leaves fewer distinct
+pieces: words without the marks and line ends that follow them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import repeat
@@ -35,6 +40,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.most_pieces = spaced, most_pieces
+        form = json.loads(self.tokenizer.to_str())
+        split = form["pre_tokenizer"] or {}
+        #: whether texts may be cut where the byte-level pattern cuts
+        self.fine = spaced and form["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self.added = [x["content"] for x in form["added_tokens"]]
         size = self.tokenizer.get_vocab_size()
         # each character of a byte-level token stands for one byte
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i).removesuffix("</w>")) for i in range(size)], np.int64)
@@ -64,11 +74,18 @@ class Encoder:
         if len(where):
             missed = [pieces[i] for i in where.tolist()]
             new = list(dict.fromkeys(missed))
-            # one that doesn't begin with its space, or ends in white space, can't stand in a row of pieces
-            alone = [p for p in new if p[:1] != " " or p[-1].isspace()] if self.spaced else []
-            rows = [p for p in new if p[:1] == " " and not p[-1].isspace()] if self.spaced else new
-            for i in range(0, len(rows), 2000):
-                self._add_row(rows[i : i + 2000])
+            # one that ends in white space, or begins with other than one space, can't stand in a row of pieces
+            alone, rows, lines = [], [], []
+            for p in new:
+                if not self.spaced or p[:1] == " " and not p[-1].isspace():
+                    rows.append(p)
+                elif p and not p[0].isspace() and not p[-1].isspace():
+                    lines.append(p)
+                else:
+                    alone.append(p)
+            for some, glue in ((rows, "" if self.spaced else " "), (lines, "\n")):
+                for i in range(0, len(some), 2000):
+                    self._add_row(some[i : i + 2000], glue)
             self._add_each(alone)
             codes[where] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
         return codes
@@ -83,17 +100,32 @@ class Encoder:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         self._add(pieces, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
-    def _add_row(self, pieces: list[str]) -> None:
-        """Encode the pieces as one text and part its ids again by the bytes they stand for."""
-        text = ("" if self.spaced else " ").join(pieces)
+    def _add_row(self, pieces: list[str], glue: str) -> None:
+        """Encode the pieces as one text and part its ids again by the bytes they stand for.
+
+        A line end between visible characters is an id of its own, which is left out.
+        """
+        text = glue.join(pieces)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         plain = pieces if self.spaced else self.tokenizer.normalizer.normalize_str(text).split(" ")
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in plain), np.int64, len(plain)))
+        between = int(self.spaced and glue == "\n")
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + between) - between
+        if not text.isascii():  # from characters to bytes
+            raw = np.frombuffer((glue if between else "").join(plain).encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))[ends]
         reach = np.cumsum(self.bytes_of[ids])
         at = np.searchsorted(reach, ends)
-        if len(plain) != len(pieces) or len(reach) == 0 or reach[-1] != ends[-1] or not np.array_equal(reach[np.minimum(at, len(reach) - 1)], ends):
+        whole = len(plain) == len(pieces) and len(reach) and reach[-1] == ends[-1] and np.array_equal(reach[np.minimum(at, len(reach) - 1)], ends)
+        if whole and between:
+            lines = at[:-1] + 1
+            whole = np.array_equal(reach[lines], ends[:-1] + 1)
+        if not whole:
             return self._add_each(pieces)
-        return self._add(pieces, ids, np.diff(at + 1, prepend=0))
+        lengths = np.diff(at + 1, prepend=0)
+        if between:
+            ids = np.delete(ids, lines)
+            lengths[1:] -= 1
+        return self._add(pieces, ids, lengths)
 
     def _store(self) -> tuple[np.ndarray, np.ndarray]:
         if self.flat:
@@ -108,28 +140,21 @@ class Encoder:
         n = len(texts)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)) if self.spaced else np.zeros(0, np.int64)
+        odd = self._odd(texts) if self.spaced else np.zeros(0, np.int64)
         plain = texts if self.spaced else pc.replace_substring_regex(texts, SPACES, " ")
         if len(odd):
             mask = np.zeros(n, bool)
             mask[odd] = True
             plain = pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts)
-        cut = pc.split_pattern(plain, " ")
-        offsets = cut.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        coded = pc.dictionary_encode(cut.flatten())
-        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         if self.spaced:
-            first = np.zeros(len(at), bool)
-            first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-            used = np.unique(at[first])
-            after = np.flatnonzero(np.bincount(at[~first], minlength=len(words)))
-            number = np.zeros((2, len(words)), np.int64)
-            number[1, used] = self._codes([words[i] for i in used])
-            number[0, after] = self._codes([" " + words[i] for i in after])
-            codes = number[first.astype(np.int64), at]
+            pieces, offsets = self._cut(plain)
         else:
-            codes = self._codes(words)[at]
+            cut = pc.split_pattern(plain, " ")
+            offsets = cut.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            pieces = cut.flatten()
+        coded = pc.dictionary_encode(pieces)
+        codes = self._codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         if len(odd):
             codes, offsets = self._with_odd(texts, odd, codes, offsets)
         flat, lengths = self._store()
@@ -139,6 +164,44 @@ class Encoder:
         ids = ragged(flat, starts[codes], took)
         return ids, offsets_of(took)[offsets]
 
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """The texts that are left to PIECES: a space after other white space, or an added token."""
+        b, offsets = bytes_of(texts)
+        if len(b) < 2:
+            return np.zeros(0, np.int64)
+        space = b[1:] == 32
+        at = np.flatnonzero(space & ((b[:-1] == 32) | (b[:-1] - np.uint8(9) < 5)))
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(offsets, at + 1, side="right") - 1] = True
+        # white space beyond ASCII doesn't begin with the byte that Latin letters with accents begin with
+        high = space & (b[:-1] > 127)
+        high[1:] &= b[:-2] != 0xC3
+        perhaps = np.unique(np.searchsorted(offsets, np.flatnonzero(high) + 1, side="right") - 1)
+        if len(perhaps):
+            odd[perhaps] |= pc.match_substring_regex(texts.take(pa.array(perhaps)), ODD_SPACE).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            if (b == token.encode()[0]).any():
+                odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(odd)
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(pieces one after another, offsets of the texts in them) for texts that are not odd."""
+        b, offsets = bytes_of(texts)
+        begins = b == 32
+        if self.fine and len(b) > 2:
+            line, visible = b == 10, b - np.uint8(33) < 94
+            letter = (b | 32) - np.uint8(97) < 26
+            other = (b < 128) & ~letter
+            # two-byte Latin letters but the signs of multiplication and division
+            letter[1:] |= (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+            begins[1:] |= (letter[:-1] & other[1:]) | (visible[:-1] & line[1:])
+            # after one line end that follows a visible character
+            begins[2:] |= visible[2:] & line[1:-1] & begins[1:-1]
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begins)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(b))), pa.py_buffer(b))
+        return pieces, np.searchsorted(starts, offsets)
+
     def _with_odd(self, texts, odd, codes, offsets):
         """The codes with those of the odd texts, cut by PIECES, in their places."""
         found = [PIECES.findall(t) for t in texts.take(pa.array(odd)).to_pylist()]
@@ -149,9 +212,17 @@ class Encoder:
         return ragged(np.concatenate([codes, extra]), starts, lengths), offsets_of(lengths)
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, offsets of the texts in them) of a large_string array without nulls."""
+    _, at, values = texts.buffers()
+    offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = np.zeros(0, np.uint8) if values is None else np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]]
+    return held, offsets - offsets[0]
+
+
+def encoder(path: str, spaced: bool, most_pieces: int = 300_000) -> Encoder:
     """One per Python worker; its store of pieces is bounded."""
-    return only(("encoder", path, spaced), lambda: Encoder(path, spaced))
+    return only(("encoder", path, spaced, most_pieces), lambda: Encoder(path, spaced, most_pieces))
 
 
 def vocabulary(name: str) -> str:

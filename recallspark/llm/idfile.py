@@ -4,15 +4,17 @@ Ids are coded by an adaptive context-mixing range coder. Each block of at most B
 coded on its own: it starts from a fresh model, carries the list of its distinct ids and the
 crc32 of its ids, and can be read without any other block.
 
-The model. With s the last id of the block and r the one before, `after2[hash(r, s)]` and
-`after1[s]` hold the id that came last after those contexts and how often in a row it has held.
-The probability of an id is the mixture w2 [id = after2] + w1 [id = after1] + w0 p0(id), where
-p0 is the order-0 frequency of the block so far and the weights adapt, for each pair of
-confidences, towards the predictor that was right. All arithmetic is on integers, so every
-machine reads what another wrote.
+The model. With s the last id of the block and r the one before, the guesses of order 2 and order
+1 are the ids that came after hash(r, s) and after s before, each with a confidence. The
+probability of an id is the mixture w2 [id = guess 2] + w1 [id = guess 1] + w0 p0(id), where p0
+is the order-0 frequency of the block so far and the weights follow, for each pair of
+confidences, how often each guess was right. Guesses are learnt after every CHUNK ids, weights
+and p0 at the steps WEIGH and REBUILD. The coder's arithmetic is on integers, and p0's on doubles
+whose rounding IEEE 754 fixes, so every machine reads what another wrote.
 
 Many blocks are coded side by side: step t handles the t-th id of every block with numpy, so
-Python's cost is shared by up to LANES blocks.
+Python's cost is shared by up to LANES blocks. What doesn't depend on a step's own result is
+computed for CHUNK steps at once.
 
 The file format: a folder of Parquet files (any file system Spark knows) whose rows are segments
 of whole documents in ascending doc_id order, `part`, `segment`, `docs` (varints: doc_id steps
@@ -35,28 +37,40 @@ from .common import SLICE_BYTES, bounded, new_path, offsets_of, slices, texts_of
 from .encoding import encoder
 
 BLOCK = 4096
-LANES = 1024
-FLUSH = 256  #: steps after which coded words leave their buffers
+CUT = 2048  #: ids of a block that is written here: twice the lanes of a task for one 16th more bytes
+STORE = 800_000  #: pieces of text that a worker remembers
+LANES = 2048
+CHUNK = 64  #: steps after which guesses are learnt
 SEGMENT = 1 << 19  #: ids after which a segment closes
-MAGIC = b"RSI1"
-SLOTS = 4096  #: order-2 contexts of a block
-MIX = 1 << 24  #: the whole of the probabilities
+MAGIC = b"RSI2"
+SLOTS = 2048  #: order-2 contexts of a block
+P0_BITS, P0 = 12, 1 << 12  #: the whole of order-0 probabilities
 REBUILD = {64, 256, 1024, 2048, 3072}  #: steps at which p0 is made anew from the counts
+WEIGH = REBUILD | {128, 512, 1536, 2560}  #: steps at which weights are made anew
 
 U = np.uint64
-LOW_MASK, TOP, BOTTOM = U((1 << 48) - 1), U(1 << 32), U(1 << 28)
+# a digit of 32 bits leaves when a span falls below 2**30; the least part of a span is 2**-17 of it
+DIGIT, REST = 32, 30
+WHOLE = (1 << DIGIT + REST) - 1
 
 
 class Corrupt(ValueError):
     """A block's checksum or form is wrong."""
 
 
+def varint_sizes(values: np.ndarray) -> np.ndarray:
+    v = np.asarray(values).astype(np.uint64)
+    need, most = np.ones(len(v), np.int64), int(v.max(initial=0))
+    for k in range(1, 10):
+        if most >> (7 * k):
+            need += v >= U(1 << (7 * k))
+    return need
+
+
 def varints(values: np.ndarray) -> bytes:
     """Unsigned 64-bit values, seven bits a byte, lowest first."""
     v = np.asarray(values).astype(np.uint64)
-    need = np.ones(len(v), np.int64)
-    for k in range(1, 10):
-        need += v >= U(1 << (7 * k))
+    need = varint_sizes(v)
     out = np.zeros(int(need.sum()), np.uint8)
     start = offsets_of(need)[:-1]
     for k in range(int(need.max(initial=0))):
@@ -79,94 +93,78 @@ def from_varints(data: bytes | memoryview) -> np.ndarray:
 
 
 class _Model:
-    """The models of many blocks ("lanes"), driven one step at a time."""
+    """The models of many blocks ("lanes") over `seq`, their ids' numbers by lane and step.
 
-    def __init__(self, sizes: np.ndarray, search: bool = False):
-        self.search = search
+    What is done for many steps at once goes lane by lane, so that a lane's tables stay in the cache.
+    """
+
+    def __init__(self, sizes: np.ndarray, seq: np.ndarray, search: bool = False):
+        self.search, self.seq = search, seq
         n, k = len(sizes), max(1, int(sizes.max(initial=1)))
         self.n, self.k = n, k
-        self.sizes = sizes.astype(np.int64)
-        self.counts = np.zeros((n, k), np.uint32)
-        self.counts[np.arange(k)[None, :] < self.sizes[:, None]] = 1
-        self.after1 = np.zeros(n * k, np.uint16)  # id number << 2 | confidence
-        self.after2 = np.zeros(n * SLOTS, np.uint16)
-        self.weight = np.full((2, n * 16), 1 << 13, np.int64)  # w2, w1 of 2**15, by confidences
-        self.lane = np.arange(n)
-        self.row1, self.row2, self.row16 = self.lane * k, self.lane * SLOTS, self.lane * 16
-        self.s, self.r = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        """p0 in 65536ths: every id of the block keeps one, the rest follows the counts."""
-        n, k = self.n, self.k
-        cum = np.zeros((n, k + 1), np.int64)
-        np.cumsum(self.counts, axis=1, out=cum[:, 1:])
-        spare = (65536 - self.sizes)[:, None]
-        cum *= spare
-        cum //= cum[:, -1:] // spare
-        cum += np.minimum(np.arange(k + 1)[None, :], self.sizes[:, None])
-        cum[:, -1] = 65536
-        self.cum = cum.ravel()
-        if self.search:  # for each 64th value the last id that begins at or before it
-            cell = np.where(np.arange(k + 1)[None, :] < self.sizes[:, None], (cum + 63) >> 6, 1025) + self.lane[:, None] * 1026
-            begun = np.bincount(cell.ravel(), minlength=n * 1026).reshape(n, 1026)
-            self.near = (np.cumsum(begun, axis=1) - 1).astype(np.int32).ravel()
-
-    def predict(self, m: int) -> None:
-        """The mixture for the next id of the first m lanes."""
-        self.i1 = self.row1[:m] + self.s[:m]
-        self.i2 = self.row2[:m] + ((self.r[:m] * 0x9E5 + self.s[:m] * 0x2F1B) & (SLOTS - 1))
-        e1, e2 = self.after1[self.i1].astype(np.int64), self.after2[self.i2].astype(np.int64)
-        self.x1, self.x2 = e1 >> 2, e2 >> 2
-        self.c1, self.c2 = e1 & 3, e2 & 3
-        self.iw = self.row16[:m] + self.c2 * 4 + self.c1
-        # half of MIX and more is the order-0 part's where nothing was right yet; it never vanishes
-        self.w2 = self.weight[0][self.iw] << 9
-        self.w1 = self.weight[1][self.iw] << 9
-        self.w0 = MIX - self.w2 - self.w1
-
-    def interval(self, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of ids x: the order-2 guess first, then the order-1 guess, then order 0."""
-        at = self.lane[:m] * (self.k + 1) + x
-        low, high = self.cum[at], self.cum[at + 1]
-        base = self.w2 + self.w1
-        start = base + (self.w0 * low >> 16)
-        size = base + (self.w0 * high >> 16) - start
-        one = x == self.x1
-        start = np.where(one, self.w2, start)
-        size = np.where(one, self.w1, size)
-        two = x == self.x2
-        return np.where(two, 0, start), np.where(two, self.w2, size)
-
-    def find(self, v: np.ndarray, m: int) -> np.ndarray:
-        """The ids whose intervals hold the values v."""
-        base = self.w2 + self.w1
-        x = np.where(v < self.w2, self.x2, self.x1)
-        rest = np.flatnonzero(v >= base)
-        # the last p0 value c with w0 * c >> 16 <= v - base, then the id whose part of p0 holds it
-        c = np.minimum(((v[rest] - base[rest] + 1 << 16) - 1) // self.w0[rest], 65535)
-        row = rest * (self.k + 1)
-        cell = rest * 1026 + (c >> 6)
-        low, high = self.near[cell].astype(np.int64), np.minimum(self.near[cell + 1], self.sizes[rest] - 1)
-        while np.any(low < high):
-            middle = (low + high + 1) >> 1
-            right = self.cum[row + middle] <= c
-            low = np.where(right, middle, low)
-            high = np.where(right, high, middle - 1)
-        x[rest] = low
-        return x
-
-    def learn(self, x: np.ndarray, m: int) -> None:
-        two, one = x == self.x2, x == self.x1
-        w2, w1 = self.weight[0][self.iw], self.weight[1][self.iw]
-        # 96 of 2**15 and more stay with each guess; the order-0 part keeps 1024 and more
-        self.weight[0][self.iw] = w2 + (np.where(two, 31000, 96) - w2 >> 4)
-        self.weight[1][self.iw] = w1 + (np.where(one & ~two, 31000, 96) - w1 >> 4)
-        self.after2[self.i2] = np.where(two, x << 2 | np.minimum(self.c2 + 1, 3), np.where(self.c2 > 1, self.x2 << 2 | self.c2 - 2, x << 2)).astype(np.uint16)
-        self.after1[self.i1] = np.where(one, x << 2 | np.minimum(self.c1 + 1, 3), np.where(self.c1 > 1, self.x1 << 2 | self.c1 - 2, x << 2)).astype(np.uint16)
-        self.counts.ravel()[self.row1[:m] + x] += 24
-        self.r[:m] = self.s[:m]
-        self.s[:m] = x
+        self.sizes = sizes.astype(np.int32)
+        self.counts = (np.arange(k)[None, :] < self.sizes[:, None]).astype(np.int32)
+        self.after = np.zeros(n * (k + SLOTS), np.uint16)  # id number << 2 | confidence
+        self.right = np.zeros((n * 16, 3), np.int64)  # neither, order 2, else order 1, by confidences
+        self.outcome = np.zeros(seq.shape, np.uint8)
+        lane = np.arange(n)
+        self.row1, self.row2, self.row16, self.row_p = lane * k, n * k + lane * SLOTS, lane * 16, lane * P0
+        self.built = self.weighed = 0
+        self.rebuild(0, n)
+        self.weigh(0, n)
+
+    def rebuild(self, t: int, m: int) -> None:
+        """p0 of the first m lanes in parts of P0: every id of the block keeps one, the rest follows the counts."""
+        k = self.k
+        if t > self.built:
+            at = self.seq[:m, self.built : t] + self.row1[:m, None]
+            self.counts[:m] += np.bincount(at.ravel(), minlength=m * k).reshape(m, k).astype(np.int32) * np.int32(24)
+            self.built = t
+        sizes = self.sizes[:m, None]
+        cum = np.cumsum(self.counts[:m], axis=1, dtype=np.float64)
+        cum *= (P0 - sizes) / cum[:, -1:]
+        end = cum.astype(np.int32)
+        column = np.arange(k, dtype=np.int32)[None, :]
+        end += np.minimum(column + 1, sizes)
+        end[column >= sizes - 1] = P0
+        start = np.zeros_like(end)
+        start[:, 1:] = end[:, :-1]
+        end -= start
+        if self.search:  # the id of each part
+            self.owner = np.repeat(np.broadcast_to(column.astype(np.uint16), (m, k)).ravel(), end.ravel())
+        self.parts = (start << 16 | end).ravel()
+
+    def weigh(self, t: int, m: int) -> None:
+        """w2 | w1 << 16 in 32768ths: 96 and more stay with each guess, 1024 and more with order 0."""
+        if t > self.weighed:
+            at = self.outcome[:m, self.weighed : t] + self.row16[:m, None] * 4
+            self.right[: m * 16] += np.bincount(at.ravel(), minlength=m * 64).reshape(m * 16, 4)[:, :3]
+            self.weighed = t
+        total = self.right.sum(axis=1) * 4 + 8
+        w2, w1 = (96 + 30904 * (self.right[:, j] * 4 + 1) // total for j in (1, 2))
+        self.weight = w2 | w1 << 16
+
+    def past(self, t: int, to: int, m: int) -> tuple[np.ndarray, ...]:
+        """The ids of the steps t to `to`, where their guesses of order 2 and 1 lie, and the guesses."""
+        known = np.zeros((m, to - t + 2), np.uint16)
+        known[:, max(0, 2 - t) :] = self.seq[:m, max(0, t - 2) : to]
+        s = known[:, 1:-1]
+        at2 = (known[:, :-2] * np.uint16(0x9E5) + s & np.uint16(SLOTS - 1)) + self.row2[:m, None]
+        at1 = s + self.row1[:m, None]
+        return known[:, 2:], at2, at1, self.after.take(at2), self.after.take(at1)
+
+    def learn(self, t: int, to: int, m: int, x, at2, at1, e2, e1) -> None:
+        hit2, hit1 = e2 >> 2 == x, e1 >> 2 == x
+        c2, c1, fresh = e2 & 3, e1 & 3, x << 2
+        self.outcome[:m, t:to] = (c2 << 4 | c1 << 2) + np.where(hit2, np.uint16(1), hit1 * np.uint16(2))
+        self.after[at2] = np.where(hit2, e2 + (c2 < 3), np.where(c2 > 1, e2 - np.uint16(2), fresh))
+        self.after[at1] = np.where(hit1, e1 + (c1 < 3), np.where(c1 > 1, e1 - np.uint16(2), fresh))
+
+    def renew(self, t: int, m: int) -> None:
+        if t in REBUILD:
+            self.rebuild(t, m)
+        if t in WEIGH:
+            self.weigh(t, m)
 
 
 def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,74 +174,108 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, len(lengths) - np.searchsorted(np.sort(lengths), np.arange(steps), side="right")
 
 
+def _distinct(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, ascending; the number of each id among them) for ids up to `most`."""
+    if most >= 1 << 18:
+        return np.unique(ids, return_inverse=True)
+    on = np.zeros(most + 1, np.bool_)
+    on[ids] = True
+    table = np.flatnonzero(on)
+    place = np.empty(most + 1, np.int32)
+    place[table] = np.arange(len(table), dtype=np.int32)
+    return table, place[ids]
+
+
+def _together(count: int) -> Iterator[slice]:
+    """Runs of like length, at most LANES."""
+    runs = -(-count // LANES)
+    for i in range(runs):
+        yield slice(count * i // runs, count * (i + 1) // runs)
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of 1 to BLOCK ids below 2**32 as bytes."""
-    return [x for i in range(0, len(blocks), LANES) for x in _encode_lanes(blocks[i : i + LANES])]
+    return [x for some in _together(len(blocks)) for x in _encode_lanes(blocks[some])]
 
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, running = _by_length(lengths)
     n, steps = len(blocks), len(running)
-    found = [np.unique(blocks[i], return_inverse=True) for i in order]
-    seq = np.zeros((steps, n), np.uint16)
-    for lane, (_, x) in enumerate(found):
-        seq[: len(x), lane] = x
-    found = [u for u, _ in found]
-    model = _Model(np.array([len(u) for u in found], np.int64))
-    low, span = np.zeros(n, np.uint64), np.full(n, LOW_MASK, np.uint64)
-    # a step makes four words at most; full buffers go to `made`
-    room = 4 * FLUSH + 8
-    out, base = np.zeros(n * room, "<u2"), np.arange(n) * room
-    filled, made = base.copy(), [bytearray() for _ in range(n)]
-
-    def flush() -> None:
-        for lane, (a, b) in enumerate(zip(base.tolist(), filled.tolist(), strict=True)):
-            made[lane] += out[a:b].tobytes()
-        filled[:] = base
-
-    for t in range(steps):
-        if t and t % FLUSH == 0:
-            flush()
-        m = int(running[t])
-        if t in REBUILD:
-            model.rebuild()
-        x = seq[t, :m].astype(np.int64)
-        model.predict(m)
-        start, size = model.interval(x, m)
-        unit = span[:m] >> U(24)
-        lo = low[:m] + unit * start.astype(np.uint64)
-        sp = unit * size.astype(np.uint64)
-        on = np.flatnonzero((sp < BOTTOM) | ((lo ^ (lo + sp)) < TOP))
-        while len(on):
-            a, b = lo[on], sp[on]
-            same = (a ^ (a + b)) < TOP
-            b = np.where(same, b, (-a.astype(np.int64)).astype(np.uint64) & (BOTTOM - U(1)))
-            out[filled[on]] = (a >> U(32)).astype(np.uint16)
-            filled[on] += 1
-            a, b = (a << U(16)) & LOW_MASK, b << U(16)
-            lo[on], sp[on] = a, b
-            on = on[(b < BOTTOM) | ((a ^ (a + b)) < TOP)]
-        low[:m], span[:m] = lo, sp
-        model.learn(x, m)
-    for _ in range(3):
-        out[filled] = (low >> U(32)).astype(np.uint16)
-        filled += 1
-        low = (low << U(16)) & LOW_MASK
-    flush()
-    done: list[bytes] = [b""] * n
+    seq = np.zeros((n, steps), np.uint16)
+    ends = offsets_of(lengths)
+    ids = np.concatenate(blocks)
+    met, met_as = _distinct(ids, int(ids.max()))
+    found = []
     for lane, i in enumerate(order):
-        ids = found[lane]
-        head = varints(np.diff(ids.astype(np.int64), prepend=0))
-        words = bytes(made[lane])
-        fields = [lengths[i], len(ids), len(head), len(words), zlib.crc32(blocks[i].astype("<u4").tobytes())]
-        done[i] = np.array(fields, "<u4").tobytes() + head + words
+        table, seq[lane, : lengths[i]] = _distinct(met_as[ends[i] : ends[i + 1]], len(met) - 1)
+        found.append(met[table].astype(np.int64))
+    sizes = np.array([len(u) for u in found], np.int64)
+    model = _Model(sizes, seq)
+    low, span = np.zeros(n, np.int64), np.full(n, WHOLE, np.int64)
+    # a step makes one digit at most; digits above 32 bits carry into those before them
+    out, lane, filled = [], [], []
+    for t in range(0, steps, CHUNK):
+        to, m = min(steps, t + CHUNK), int(running[t])
+        model.renew(t, m)
+        past = model.past(t, to, m)
+        x, _, _, e2, e1 = past
+        w = model.weight.take(((e2 & 3) << 2 | e1 & 3) + model.row16[:m, None]).astype(np.int32)
+        w2, w1 = w & 0xFFFF, w >> 16
+        first = w2 + w1
+        rest = 32768 - first
+        p = model.parts.take(x + model.row1[:m, None])
+        part, width, whole = p >> 16, p & 0xFFFF, np.zeros_like(p)
+        two = e2 >> 2 == x
+        on = np.flatnonzero(two | (e1 >> 2 == x))
+        two, a2 = two.ravel()[on], w2.ravel()[on]
+        first.ravel()[on] = np.where(two, 0, a2)
+        whole.ravel()[on] = np.where(two, a2, w1.ravel()[on])
+        part.ravel()[on] = width.ravel()[on] = 0
+        first, rest, part, width, whole = (y.T.astype(np.int64, order="C") for y in (first, rest, part, width, whole))
+        for k in range(to - t):
+            m = int(running[t + k])
+            unit = span[:m] >> 15
+            q = unit * rest[k, :m] >> P0_BITS
+            lo = low[:m] + unit * first[k, :m]
+            lo += q * part[k, :m]
+            unit *= whole[k, :m]
+            q *= width[k, :m]
+            unit += q
+            on = np.flatnonzero(unit < 1 << REST)
+            digits = lo[on]
+            out.append(digits >> REST)
+            lane.append(on)
+            lo[on] = (digits & (1 << REST) - 1) << DIGIT
+            unit[on] <<= DIGIT
+            low[:m], span[:m] = lo, unit
+        model.learn(t, to, int(running[t]), *past)
+    lane += [np.arange(n)] * 2
+    out += [low >> REST, (low & (1 << REST) - 1) << (DIGIT - REST)]
+    lanes = np.concatenate(lane)
+    by_lane = np.argsort(lanes.astype(np.uint16), kind="stable")
+    digits, filled = np.concatenate(out)[by_lane], offsets_of(np.bincount(lanes, minlength=n))
+    while len(on := np.flatnonzero(digits >> DIGIT)):
+        carried = digits[on] >> DIGIT
+        digits[on] &= (1 << DIGIT) - 1
+        digits[on - 1] += carried
+    words = memoryview(digits.astype("<u4")).cast("B")
+    tables = np.concatenate(found)
+    ends = offsets_of(sizes)
+    steps_of = np.diff(tables, prepend=0)
+    steps_of[ends[:-1]] = tables[ends[:-1]]
+    heads, head_ends = varints(steps_of), offsets_of(varint_sizes(steps_of))[ends]
+    done: list[bytes] = [b""] * n
+    for j, i in enumerate(order):
+        head, mine = heads[head_ends[j] : head_ends[j + 1]], words[4 * filled[j] : 4 * filled[j + 1]]
+        fields = [lengths[i], sizes[j], len(head), len(mine), zlib.crc32(blocks[i].astype("<u4"))]
+        done[i] = np.array(fields, "<u4").tobytes() + head + mine
     return done
 
 
 def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     """The ids of each coded block; Corrupt if one isn't what was written."""
-    return [x for i in range(0, len(data), LANES) for x in _decode_lanes(data[i : i + LANES])]
+    return [x for some in _together(len(data)) for x in _decode_lanes(data[some])]
 
 
 def _decode_lanes(data: list[bytes]) -> list[np.ndarray]:
@@ -252,52 +284,86 @@ def _decode_lanes(data: list[bytes]) -> list[np.ndarray]:
         if len(d) < 20:
             raise Corrupt("a block is cut off")
         heads[i] = np.frombuffer(d, "<u4", 5)
-        if len(d) != 20 + heads[i, 2] + heads[i, 3] or not 0 < heads[i, 0] <= BLOCK:
+        if len(d) != 20 + heads[i, 2] + heads[i, 3] or not 0 < heads[i, 0] <= BLOCK or heads[i, 3] % 4:
             raise Corrupt("a block's lengths don't fit")
     lengths = heads[:, 0]
     order, running = _by_length(lengths)
     n, steps = len(data), len(running)
-    tables = [np.cumsum(from_varints(data[i][20 : 20 + heads[i, 2]])) for i in order]
-    if any(len(t) != heads[i, 1] for t, i in zip(tables, order, strict=True)):
+    listed = from_varints(b"".join(data[i][20 : 20 + heads[i, 2]] for i in order)).astype(np.int64)
+    sizes = heads[order, 1]
+    if len(listed) != sizes.sum() or sizes.min() < 1 or (sizes > lengths[order]).any():
         raise Corrupt("a block's table of ids doesn't fit")
-    words = [np.frombuffer(data[i], "<u2", heads[i, 3] // 2, 20 + heads[i, 2]) if heads[i, 2] % 2 == 0 else np.frombuffer(data[i][20 + heads[i, 2] :], "<u2") for i in order]
-    at = offsets_of(np.array([len(w) + 4 for w in words]))[:-1]
-    source = np.concatenate([np.concatenate([w, np.zeros(4, w.dtype)]) for w in words]).astype(np.uint64)
-    limit = len(source) - 1
-    model = _Model(np.array([len(t) for t in tables], np.int64), search=True)
-    seq = np.zeros((steps, n), np.uint16)
-    low, span, code = np.zeros(n, np.uint64), np.full(n, LOW_MASK, np.uint64), np.zeros(n, np.uint64)
-    for _ in range(3):
-        code = code << U(16) | source[np.minimum(at, limit)]
-        at = at + 1
-    for t in range(steps):
+    ends = offsets_of(sizes)
+    sums = np.cumsum(listed)
+    tables = (sums - np.repeat(sums[ends[:-1]] - listed[ends[:-1]], sizes)).astype(np.uint32)
+    at = offsets_of(heads[order, 3] // 4)[:-1]
+    # a damaged block may read beyond its end, by a digit a step at most
+    source = np.frombuffer(b"".join([*(data[i][20 + heads[i, 2] :] for i in order), bytes(4 * steps + 12)]), "<u4").astype(np.int64)
+    low_bits = DIGIT - REST
+    digits = (source[:-1] & (1 << low_bits) - 1) << REST | source[1:] >> low_bits  # as they follow the first REST + DIGIT bits
+    seq = np.zeros((n, steps), np.uint16)
+    model = _Model(sizes, seq, search=True)
+    # the place of the code in the span
+    place, span = source[at] << REST | source[at + 1] >> low_bits, np.full(n, WHOLE, np.int64)
+    at = at + 1
+    r, s = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for t in range(0, steps, CHUNK):
+        to = min(steps, t + CHUNK)
+        model.renew(t, int(running[t]))
+        now = np.zeros((to - t, n), np.uint16)
+        for k in range(t, to):
+            m = int(running[k])
+            if m < len(s):
+                r, s, place, span, at = r[:m], s[:m], place[:m], span[:m], at[:m]
+            h = r * 0x9E5
+            h += s
+            h &= SLOTS - 1
+            h += model.row2[:m]
+            e2, e1 = model.after.take(h), model.after.take(model.row1[:m] + s)
+            w = model.weight.take(((e2 & 3) << 2 | e1 & 3) + model.row16[:m])
+            w2, first = w & 0xFFFF, w >> 16
+            first += w2
+            unit = span >> 15
+            q = 32768 - first
+            q *= unit
+            q >>= P0_BITS
+            start = unit * first
+            c = place - start
+            c //= q
+            on = np.flatnonzero(c < 0)
+            np.minimum(c, P0 - 1, out=c)
+            c[on] = 0
+            c += model.row_p[:m]
+            x = model.owner.take(c).astype(np.int64)
+            p = model.parts.take(model.row1[:m] + x).astype(np.int64)
+            size = p & 0xFFFF
+            size *= q
+            p >>= 16
+            p *= q
+            p += start
+            if len(on):
+                a2, all2 = unit[on] * w2[on], start[on]
+                two = place[on] < a2
+                x[on] = np.where(two, e2[on], e1[on]) >> 2
+                p[on] = np.where(two, 0, a2)
+                size[on] = np.where(two, a2, all2 - a2)
+            place = place - p
+            need = (size < 1 << REST).astype(np.int64)
+            shift = need << 5
+            size <<= shift
+            place <<= shift
+            place |= digits.take(at) * need
+            at = at + need
+            span = size
+            now[k - t, :m] = x
+            r, s = s, x
+        seq[:, t:to] = now.T
         m = int(running[t])
-        if t in REBUILD:
-            model.rebuild()
-        model.predict(m)
-        unit = span[:m] >> U(24)
-        v = np.minimum((code[:m] - low[:m] & LOW_MASK) // unit, U(MIX - 1)).astype(np.int64)
-        x = model.find(v, m)
-        start, size = model.interval(x, m)
-        lo = low[:m] + unit * start.astype(np.uint64)
-        sp = unit * size.astype(np.uint64)
-        on = np.flatnonzero((sp < BOTTOM) | ((lo ^ (lo + sp)) < TOP))
-        while len(on):
-            a, b = lo[on], sp[on]
-            same = (a ^ (a + b)) < TOP
-            b = np.where(same, b, (-a.astype(np.int64)).astype(np.uint64) & (BOTTOM - U(1)))
-            code[on] = (code[on] << U(16) & LOW_MASK) | source[np.minimum(at[on], limit)]
-            at[on] += 1
-            a, b = (a << U(16)) & LOW_MASK, b << U(16)
-            lo[on], sp[on] = a, b
-            on = on[(b < BOTTOM) | ((a ^ (a + b)) < TOP)]
-        low[:m], span[:m] = lo, sp
-        seq[t, :m] = x
-        model.learn(x, m)
+        model.learn(t, to, m, *model.past(t, to, m))
     done: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for lane, i in enumerate(order):
-        ids = tables[lane][seq[: lengths[i], lane]].astype(np.uint32)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i, 4]:
+        ids = tables[ends[lane] : ends[lane + 1]][seq[lane, : lengths[i]]]
+        if zlib.crc32(ids.astype("<u4", copy=False)) != heads[i, 4]:
             raise Corrupt("a block's checksum is wrong")
         done[i] = ids
     return done
@@ -312,7 +378,7 @@ def _segments(vocabulary: str, spaced: bool, end_id: int | None):
         part, number, held, size, ready, blocks = TaskContext.get().partitionId(), 0, [], 0, [], 0
         for batch in batches:
             for some in slices(batch, most=2 * SLICE_BYTES):
-                ids, offsets = encoder(vocabulary, spaced).encode(texts_of(some.column("text")))
+                ids, offsets = encoder(vocabulary, spaced, STORE).encode(texts_of(some.column("text")))
                 for doc, a, b in zip(some.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                     held.append((doc, ids[a:b]))
                     size += int(b - a) + 1
@@ -340,7 +406,7 @@ def _closed(part: int, number: int, held: list, end_id: int | None) -> dict:
     counts = np.array([len(got) + len(end) for _, got in held], np.uint64)
     docs = varints(np.concatenate([keys, counts]))
     docs = MAGIC + np.array([zlib.crc32(docs)], "<u4").tobytes() + docs
-    return {"part": part, "segment": number, "n_docs": len(held), "n_ids": len(ids), "docs": docs, "blocks": [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]}
+    return {"part": part, "segment": number, "n_docs": len(held), "n_ids": len(ids), "docs": docs, "blocks": [ids[i : i + CUT] for i in range(0, len(ids), CUT)]}
 
 
 def _coded(ready: list[dict]) -> pa.RecordBatch:

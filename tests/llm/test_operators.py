@@ -62,6 +62,21 @@ def test_encoding_is_that_of_the_untouched_library(name, spaced):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_words_are_encoded_without_the_marks_that_follow_them():
+    import pyarrow as pa
+
+    from recallspark.llm.encoding import Encoder
+
+    plain, own = tokenizer("byte_bpe_50k.json"), Encoder(vocabulary("byte_bpe_50k.json"), True)
+    words, marks = [f"{a}{b}" for a in ("ing", "été", "Th", "or") for b in ("tion", "né", "x7", "le")], [",", ".", ".\nIn", "&&&", "'s", "'tis", "\n\n", " \n", "\n ", "\t", "×", "²", "(a", "<|x"]
+    texts = ["".join(f" {w}{m}" for w in words for m in marks[k:] + marks[:k]) for k in range(len(marks))]
+    ids, at = own.encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    own = Encoder(vocabulary("byte_bpe_50k.json"), True)
+    own.encode(pa.array([" ".join(f"{w}{m}" for w in words for m in (",", ".", ";", "&&&", "!"))], pa.large_string()))
+    assert len(own.index) <= 2 * len(words) + 6  # not each word with each mark
+
+
 def check_ids(found, docs):
     t = tokenizer("byte_bpe_50k.json")
     want, start = [], 0
@@ -99,6 +114,23 @@ def test_blocks_round_trip_and_reset():
         idfile.decode_blocks([coded[2][:-3]])
 
 
+def test_a_block_damaged_anywhere_fails_and_many_lanes_agree_with_few():
+    rng = np.random.default_rng(2)
+    blocks = [rng.zipf(1.3, n).clip(max=60000).astype(np.uint32) for n in rng.integers(1, 700, 40)]
+    coded = idfile.encode_blocks(blocks)
+    assert [idfile.encode_blocks([b])[0] for b in blocks] == coded
+    assert all(np.array_equal(a, b) for a, b in zip(idfile.decode_blocks(coded[::-1]), blocks[::-1], strict=True))
+    longest = max(coded, key=len)
+    for at in range(0, len(longest), 7):
+        broken = bytearray(longest)
+        broken[at] ^= 1 << at % 8
+        try:
+            got = idfile.decode_blocks([bytes(broken)])
+        except idfile.Corrupt:
+            continue
+        assert np.array_equal(got[0], blocks[coded.index(longest)])  # bits beyond the last id
+
+
 def check_packed(rows, docs, window=2048):
     t = tokenizer("word_bpe_49k.json")
     want = collections.Counter()
